@@ -52,7 +52,7 @@ _EVENT_COLUMNS = (
     ("action", _ACTION),
     ("status", _STATUS),
     ("port", "case when @K % 2 = 0 then cast((event_id * 37) % 40 + 1 as int) end"),
-    ("raw", "concat(@STAMP, ' ', event_type, ' user=u', user_id, ' value=', cast(cast(value as int) as varchar(20)))"),
+    ("raw", "concat(@STAMP, ' ', event_type, ' user=u', user_id, ' value=', cast(floor(value) as bigint))"),
     ("file", "concat('source-', event_id % 3)"),
 )
 
