@@ -114,3 +114,41 @@ def events_sql() -> str:
 
 def lines_sql() -> str:
     return f"select {', '.join(line_projection('duckdb'))} from {_RAW_EVENTS_SQL}"
+
+
+# ---- structured records: eight given fields per event, as CSV, JSON Lines and JSON text -------
+
+_FIELDS = (
+    ("timestamp", "@ISO"),
+    ("source_ip", f"case when @K % 8 <> 0 then {_SOURCE_IP} else '' end"),
+    ("dest_ip", "case when @K % 5 < 3 then concat('172.16.0.', event_id % 9) else '' end"),
+    ("user", "case when @K % 11 <> 0 then concat('u', user_id) else ' ' end"),
+    ("host", "case when @K % 7 <> 0 then concat('node-', user_id % 5) else '' end"),
+    ("action", "case when @K % 9 = 0 then '' else concat(upper(event_type), ' - Login ', user_id % 3) end"),
+    ("status", "case @K % 6 when 0 then 'OK' when 1 then 'denied' when 2 then '403' when 3 then 'Blocked' when 4 then '' else 'n/a' end"),
+    ("port", "case when @K % 4 = 0 then '' else concat('', @K * 997 % 70000) end"),
+)
+CSV_HEADER = "Timestamp,Src_IP, Dest_IP ,User,Host,Event_Type,Status,Port"
+_RECORD = ("concat('{\"ts\":\"', f_timestamp, '\",\"src\":\"', f_source_ip, '\",\"dst_ip\":\"', f_dest_ip, '\",\"principal\":\"', f_user, "
+           "'\",\"asset\":\"', f_host, '\",\"operation\":\"', f_action, '\",\"outcome\":\"', f_status, '\",\"dport\":\"', f_port, '\"}')")
+
+# Texts over the field columns, valid in both engines.
+FIELD_LINES = {
+    "csv": "concat(f_timestamp, ',', f_source_ip, ', ', f_dest_ip, ',\"', f_user, '\",', f_host, ',', f_action, ',\"', f_status, '\",', f_port)",
+    "record": _RECORD,
+    "jsonl": f"case when k % 10 = 0 then concat('Failed password for u', k, ' from 10.9.8.7 port ', k) when k % 10 = 1 then '// note' "
+             f"when k % 10 = 2 then '[1,2]' else {_RECORD} end",
+}
+
+
+def field_sql(dialect: str) -> str:
+    inner = "(select *, cast(json_extract_string(props, '$.k') as int) as k from events)" if dialect == "duckdb" else "raw_events"
+    return f"select event_id as ingest_seq, k, {', '.join(field_projection(dialect))} from {inner}"
+
+
+def field_projection(dialect: str) -> list[str]:
+    return [_render(f"{expr} as f_{name}", dialect) for name, expr in _FIELDS]
+
+
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_events(spark, sf_dir).selectExpr("event_id as ingest_seq", "k", *field_projection("spark"))

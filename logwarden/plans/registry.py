@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from logwarden.plans import oracle_logs, queries_logs
+from logwarden.plans import oracle_logs, oracle_text, queries_logs, queries_text
 
-_MODULES = ((queries_logs.QUERIES, oracle_logs.ORACLE),)
+_MODULES = (
+    (queries_logs.QUERIES, oracle_logs.ORACLE),
+    (queries_text.QUERIES, oracle_text.ORACLE),
+)
 
 
 def queries() -> dict:
