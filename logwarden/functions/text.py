@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fv
 
-# Java's \b consults Unicode letters while \w is ASCII, so the ASCII boundary is spelled out.
-_ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 _BLANKS = " \t\n\r\f\x0b\u00a0\ufeff"
 DASH = "—"
 ELLIPSIS = "…"
 
 
 def pattern(text: str, ignore_case: bool = True) -> str:
-    """A fixed-value pattern as a Java regex with ASCII word boundaries."""
-    body = text.replace(r"\b", _ASCII_BOUNDARY)
+    """A fixed-value pattern as a Java regex.
+
+    Java's ``\\b`` consults Unicode letters while ``\\w`` is ASCII, so the ASCII boundary is
+    spelled out. In these patterns a boundary stands before a word character, or after one at
+    the end of an alternative, where it needs one look-around only.
+    """
+    body = re.sub(r"\\b(?=\||$)", r"(?!\\w)", text).replace(r"\b", r"(?<!\w)")
     return f"(?i){body}" if ignore_case else body
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns evaluated once per row.
+
+    They come out of a generator over one struct, so the optimizer does not copy a costly
+    expression into each filter and projection that uses its column.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def non_empty(col: Column) -> Column:
     """Null instead of the empty string."""
     return F.when(F.length(col) > 0, col)
@@ -56,14 +70,16 @@ def all_ips(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern(fv.IPV4_PATTERN, False)), F.lit(0))
 
 
-def first_ip(text: Column) -> Column:
-    """The labelled source address, else the first address in the text."""
-    return F.coalesce(_first_group(text, fv.LABELED_SOURCE_PATTERN), F.get(all_ips(text), F.lit(0)))
+def first_ip(text: Column, ips: Column | None = None) -> Column:
+    """The labelled source address, else the first address in the text (``ips``: those already found)."""
+    found = all_ips(text) if ips is None else ips
+    return F.coalesce(_first_group(text, fv.LABELED_SOURCE_PATTERN), F.get(found, F.lit(0)))
 
 
-def second_ip(text: Column) -> Column:
+def second_ip(text: Column, ips: Column | None = None) -> Column:
     """The labelled destination address, else the second address in the text."""
-    return F.coalesce(_first_group(text, fv.LABELED_DEST_PATTERN), F.get(all_ips(text), F.lit(1)))
+    found = all_ips(text) if ips is None else ips
+    return F.coalesce(_first_group(text, fv.LABELED_DEST_PATTERN), F.get(found, F.lit(1)))
 
 
 def clamp_port(value: Column) -> Column:
@@ -73,8 +89,14 @@ def clamp_port(value: Column) -> Column:
     return F.when((number > 0) & (number <= 65535), number.cast("int"))
 
 
+def port_text(text: Column) -> Column:
+    return F.coalesce(*[_first_group(text, p) for p in fv.PORT_PATTERNS])
+
+
 def extract_port(text: Column) -> Column:
-    return clamp_port(F.coalesce(*[_first_group(text, p) for p in fv.PORT_PATTERNS]))
+    """A labelled port of at most five digits, when it lies in 1..65535."""
+    number = port_text(text).cast("int")
+    return F.when(number.between(1, 65535), number)
 
 
 def extract_user(text: Column) -> Column:

@@ -197,21 +197,16 @@ def document_records(documents: DataFrame) -> DataFrame:
     text = tx.strip(F.col("text"))
     is_array = text.startswith("[") & text.endswith("]")
     is_object = text.startswith("{") & text.endswith("}")
-    listed = lambda t: F.from_json(t, "array<string>", _JSON_OPTIONS)
-    wrapped = F.coalesce(*[
-        F.when(F.try_element_at("object", F.lit(k)).startswith("["), listed(F.try_element_at("object", F.lit(k))))
-        for k in fv.JSON_WRAPPER_KEYS])
-    single = listed(F.concat(F.lit("["), text, F.lit("]")))
-    return (
-        documents.select("file", "ingest_seq", "text", F.when(is_array, listed(text)).alias("array"),
-                         F.when(is_object, F.from_json(text, "map<string,string>", _JSON_OPTIONS)).alias("object"))
-        .select(
-            "file", "ingest_seq",
-            F.when(F.col("array").isNotNull(), F.col("array"))
-            .when(F.col("object").isNotNull(), F.coalesce(wrapped, single))
-            .when(_is_json_value_but_no_record(text), F.array().cast("array<string>")).alias("records"))
-        .withColumn("records", F.filter("records", lambda r: r.startswith("{")))
+    value = lambda k: F.try_element_at("object", F.lit(k))
+    wrapped = F.coalesce(*[F.when(value(k).startswith("["), value(k)) for k in fv.JSON_WRAPPER_KEYS])
+    as_list = (
+        F.when(is_array, text)
+        .when(F.col("object").isNotNull(), F.coalesce(wrapped, F.concat(F.lit("["), text, F.lit("]"))))
+        .when(_is_json_value_but_no_record(text), F.lit("[]"))
     )
+    opened = tx.once(documents, object=F.when(is_object, F.from_json(text, "map<string,string>", _JSON_OPTIONS)))
+    records = F.filter(F.from_json("as_list", "array<string>", _JSON_OPTIONS), lambda r: r.startswith("{"))
+    return tx.once(tx.once(opened, as_list=as_list), records=records).select("file", "ingest_seq", "records")
 
 
 def parse_documents(records: DataFrame) -> DataFrame:
@@ -234,12 +229,14 @@ def normalize(records: DataFrame) -> DataFrame:
     judged = F.when(is_record, F.concat(
         F.coalesce("given_action", blank), F.lit(" "), F.coalesce("given_status", blank), F.lit(" "), raw)).otherwise(raw)
     staged = records.select(
-        "*", tx.classify(judged).alias("c"), tx.parse_time(F.coalesce("given_timestamp", "raw")).alias("t"))
+        "*", tx.classify(judged).alias("c"), tx.parse_time(F.coalesce("given_timestamp", "raw")).alias("t"),
+        tx.all_ips(raw).alias("ips"))
     status = F.when(F.col("given_status").isNotNull(), tx.normalize_status(F.col("given_status"), F.col("c.status")))
+    ips = F.col("ips")
     return staged.select(
         "ingest_seq", "t.ts", "t.time_label", "t.hour",
-        F.coalesce("given_source_ip", tx.first_ip(raw)).alias("source_ip"),
-        F.when(is_record, F.col("given_dest_ip")).otherwise(tx.second_ip(raw)).alias("dest_ip"),
+        F.coalesce("given_source_ip", tx.first_ip(raw, ips)).alias("source_ip"),
+        F.when(is_record, F.col("given_dest_ip")).otherwise(tx.second_ip(raw, ips)).alias("dest_ip"),
         F.coalesce("given_user", tx.extract_user(raw)).alias("user"),
         F.when(is_record, F.col("given_host")).otherwise(tx.extract_host(raw)).alias("host"),
         F.coalesce(tx.normalize_action(F.col("given_action")), F.col("c.action")).alias("action"),
