@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from logwarden.plans import oracle_logs, oracle_stats, oracle_text, queries_logs, queries_stats, queries_text
+from logwarden.plans import (
+    oracle_logs, oracle_models, oracle_stats, oracle_text, queries_logs, queries_models, queries_stats, queries_text,
+)
 
 _MODULES = (
     (queries_logs.QUERIES, oracle_logs.ORACLE),
     (queries_text.QUERIES, oracle_text.ORACLE),
     (queries_stats.QUERIES, oracle_stats.ORACLE),
+    (queries_models.QUERIES, oracle_models.ORACLE),
 )
 
 
