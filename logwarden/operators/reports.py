@@ -406,8 +406,29 @@ def answer_questions(questions: DataFrame, script: DataFrame) -> DataFrame:
         .when(best.isNotNull(), "overlap").otherwise("fallback").alias("how"))
 
 
+def analyst_fallback(found: DataFrame) -> DataFrame:
+    """The answer given when no scripted turn fits."""
+    n = F.col("n")
+    some = F.concat(
+        F.lit("I can explain any of the "), n.cast("string"),
+        F.lit(" detected incident(s), rank them by risk, or trace a MITRE technique through this dataset. Try a suggested "
+              "question, or ask about a specific incident, IP, or asset."))
+    none = F.lit("No incidents were detected in this data. I can still summarise the events — ask about a specific IP, user, or asset.")
+    return found.agg(F.count("*").alias("n")).select(F.when(n > 0, some).otherwise(none).alias("answer"))
+
+
 # ---- empty input ------------------------------------------------------------
 
+EMPTY_NOTE = "No events could be parsed from this source."
+EMPTY_ANSWER = ("No events were parsed from this source, so there's nothing to investigate yet. Upload log files or connect a URL "
+                "from Data Sources to get started.")
+
+
+def zeroed(values: DataFrame, *columns: str) -> DataFrame:
+    """The same rows with the named numbers at 0, for a run without events."""
+    return values.withColumns({c: F.lit(0).cast("bigint") for c in columns})
+
+
 
 def empty_activity(spark: SparkSession) -> DataFrame:
     return spark.range(24).select(

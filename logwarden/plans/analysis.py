@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fv
 from logwarden.cluster import written
+from logwarden.functions.text import run_label
 from logwarden.operators import detect, incidents, reports
 
 
@@ -96,18 +97,47 @@ class Analysis:
     def assets(self) -> DataFrame:
         return pin(reports.asset_inventory(self.events, self.incidents))
 
+    @cached_property
+    def is_empty(self) -> bool:
+        return self.totals.first().n_events == 0
+
     @cached_property
     def health(self) -> DataFrame:
-        return pin(reports.health_dimensions(self.incidents, self.profiles))
+        dimensions = pin(reports.health_dimensions(self.incidents, self.profiles))
+        return reports.zeroed(dimensions, "value") if self.is_empty else dimensions
+
+    @property
+    def summary(self) -> DataFrame:
+        row = reports.report_summary(self.incidents, self.totals, self.score, self.label)
+        return reports.zeroed(row, "avg_response_mins") if self.is_empty else row
+
+    @property
+    def kpis(self) -> DataFrame:
+        cards = reports.kpis(self.activity, self.incidents, self.totals)
+        return cards.withColumn("spark", F.array().cast("array<bigint>")) if self.is_empty else cards
+
+    @property
+    def meta(self) -> DataFrame:
+        """One row: label, run label, event count, file count, note."""
+        n_files = None if self.files is None else self.files.count()
+        row = self.totals.crossJoin(F.broadcast(self.incidents.agg(F.count("*").alias("n"))))
+        found = F.concat(F.col("n").cast("string"), F.lit(" incident(s) detected across "), F.col("n_events").cast("string"), F.lit(" events"))
+        return row.select(
+            F.lit(self.label).alias("label"), run_label(self.run_label).alias("generated_at"), F.col("n_events").alias("event_count"),
+            F.lit(n_files).cast("bigint").alias("file_count"),
+            F.when(F.col("n_events") == 0, reports.EMPTY_NOTE).otherwise(found).alias("note"))
+
+    @property
+    def fallback(self) -> DataFrame:
+        answer = reports.analyst_fallback(self.incidents)
+        return answer.select(F.lit(reports.EMPTY_ANSWER).alias("answer")) if self.is_empty else answer
 
     intel = property(lambda self: reports.threat_intel(self.hostile, self.run_label))
     score = property(lambda self: reports.health_score(self.health))
     progression = property(lambda self: reports.technique_progression(self.incidents))
-    summary = property(lambda self: reports.report_summary(self.incidents, self.totals, self.score, self.label))
     attack_types = property(lambda self: reports.attack_type_shares(self.threats))
     top_techniques = property(lambda self: reports.top_techniques(self.incidents))
     notifications = property(lambda self: reports.notifications(self.incidents, self.hostile))
-    kpis = property(lambda self: reports.kpis(self.activity, self.incidents, self.totals))
     pool = property(lambda self: reports.event_pool(self.events))
     script = property(lambda self: reports.analyst_script(self.incidents, self.hostile))
     suggestions = property(lambda self: reports.suggestions(self.incidents, self.hostile))
@@ -115,7 +145,7 @@ class Analysis:
     TABLES = (
         "incidents", "timeline", "risk_factors", "responses", "techniques", "entities", "explanations", "edges",
         "activity", "totals", "threats", "hostile", "intel", "profiles", "assets", "health", "score", "progression",
-        "summary", "attack_types", "top_techniques", "notifications", "kpis", "pool", "script", "suggestions",
+        "summary", "attack_types", "top_techniques", "notifications", "kpis", "pool", "script", "suggestions", "fallback", "meta",
     )
 
     def publish(self, folder: str, fmt: str = "parquet") -> None:

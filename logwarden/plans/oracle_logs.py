@@ -248,6 +248,12 @@ select 4, concat('Show all activity from ', ip), concat(ip, ' is the most active
       select * from inc2 where contains(summary, worst.ip) order by rnk limit 2)), '')), 88, concat('Events from ', ip)
 from worst)"""
 
+
+
+def _norm(text: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower({text}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+
+
 ORACLE = {
     "ip_features": with_(_BASE, _FEAT, body="select * from feat"),
     "malware_endpoints": with_(_BASE, _FEAT, body="select * from mal"),
@@ -358,5 +364,21 @@ ORACLE = {
         case when status = 'info' then 'success' else status end status from fl order by alert desc, ingest_seq limit 16"""),
     "analyst_script": with_(*_TO_TOP, _SIG, _HOST, _TECH, _SCRIPT, body="select cast(position as bigint) as position, question, answer, bullets, cast(confidence as bigint) confidence, sources from scr"),
     "action_counts": with_(_BASE, body="select action, count(*) n, min(ingest_seq) first_seq from ev group by action"),
-    "run_empty_baseline": "select lpad(cast(h as varchar), 2, '0') as hour, cast(0 as bigint) events, cast(0 as bigint) alerts from range(24) r(h)",
+    "suggestions": with_(*_TO_TOP, _SIG, _HOST, _TECH, _SCRIPT, body="""select cast(case position when 3 then 4 when 4 then 3 else position end as bigint) as position, question from scr"""),
+    "run_meta": with_(*_TO_TOP, body="""select '2026-08-26 10:00 UTC' generated_at, (select count(*) from ev) event_count,
+        concat(count(*), ' incident(s) detected across ', (select count(*) from ev), ' events') note from inc2"""),
+    "analyst_fallback": with_(*_TO_TOP, body="""select concat('I can explain any of the ', count(*), ' detected incident(s), rank them by risk, or trace a MITRE technique through this dataset. Try a suggested question, or ask about a specific incident, IP, or asset.') answer from inc2"""),
+    "top_incident": with_(*_TO_TOP, body="select incident_id, title, risk from inc2 where rnk = 1"),
+    "question_answers": with_(*_TO_TOP, _SIG, _HOST, _TECH, _SCRIPT, f"""tn as (select position, {_norm("coalesce(question, '')")} nq,
+        {_norm("concat_ws(' ', question, answer, bullets, case when position <= 2 then (select incident_id from inc2 where rnk = 1) end, sources)")} hay from scr),
+      qs as (select concat(conv_id, '-', turn) question_id, {_norm("case when turn = 0 then 'What should I investigate first?' when turn = 1 and conv_id % 2 = 0 then 'investigate FIRST' else text end")} nq from conversations),
+      m as (select question_id, qs.nq, min(position) filter (tn.nq = qs.nq) e, min(position) filter (tn.nq <> '' and (contains(tn.nq, qs.nq) or contains(qs.nq, tn.nq))) p,
+          arg_max(position, o * 100 - position) filter (o > 0) b
+        from (select qs.*, tn.position, tn.nq tnq, len(list_filter(string_split(qs.nq, ' '), lambda w: length(w) >= 3 and contains(hay, w))) o from qs cross join tn) x
+        join tn using (position) join qs using (question_id) group by all)""".replace("join tn using (position) join qs using (question_id) group by all", "join qs using (question_id) join tn using (position) group by all"),
+      body="""select question_id, cast(case when nq <> '' then coalesce(e, p, b) end as bigint) as position,
+        case when nq = '' then 'fallback' when e is not null then 'exact' when p is not null then 'partial' when b is not null then 'overlap' else 'fallback' end how from m"""),
+    "empty_run": """select 'card' part, unnest(['Events parsed', 'Alerts', 'Incidents', 'Critical']) as name, cast(0 as bigint) as value
+      union all select 'health', unnest(['Threat Detection', 'Incident Response', 'User Risk', 'Network Security', 'Endpoint Security', 'Vulnerabilities']), 0
+      union all select 'activity', lpad(cast(h as varchar), 2, '0'), 0 from range(24) r(h) union all select 'report', 'mins', 0""",
 }

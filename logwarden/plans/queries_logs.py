@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logwarden.functions.text import sha256_short
 from logwarden.operators import detect, incidents, reports
 from logwarden.plans.analysis import Analysis
-from logwarden.plans.driver_tables import events
+from logwarden.plans.driver_tables import events, table
 
 RUN_LABEL = "2026-08-26 10:00 UTC"
 
@@ -82,6 +82,25 @@ def _of(name: str, *columns):
     return build
 
 
+def _answers(spark, sf_dir) -> DataFrame:
+    """Every conversation turn asked as a question of the scripted answers."""
+    asked = table(spark, sf_dir, "conversations").select(
+        F.concat("conv_id", F.lit("-"), "turn").alias("question_id"),
+        F.when(F.col("turn") == 0, F.lit("What should I investigate first?"))
+        .when((F.col("turn") == 1) & (F.col("conv_id") % 2 == 0), "investigate FIRST").otherwise(F.col("text")).alias("question"))
+    return reports.answer_questions(asked, analysis(spark, sf_dir).script).selectExpr("question_id", whole("position"), "how")
+
+
+def _empty(spark, sf_dir) -> DataFrame:
+    """A run over no events: the zeroed cards, dimensions and report."""
+    run = Analysis(events(spark, sf_dir).where("ingest_seq < 0"), run_label=RUN_LABEL)
+    cards = run.kpis.select(F.lit("card").alias("part"), F.col("label").alias("name"), "value")
+    dims = run.health.select(F.lit("health").alias("part"), "name", "value")
+    hours = run.activity.select(F.lit("activity").alias("part"), F.col("hour").alias("name"), (F.col("events") + F.col("alerts")).alias("value"))
+    report = run.summary.select(F.lit("report").alias("part"), F.lit("mins").alias("name"), F.col("avg_response_mins").alias("value"))
+    return cards.unionByName(dims).unionByName(hours).unionByName(report)
+
+
 _POSITION = whole("position")
 
 QUERIES = {
@@ -129,5 +148,11 @@ QUERIES = {
     "kpis": _of("kpis", "label", "value", joined("spark", ","), "tone"),
     "event_pool": lambda s, d: reports.event_pool(events(s, d)).drop("alert"),
     "analyst_script": _script,
+    "suggestions": _of("suggestions", _POSITION, "question"),
+    "run_meta": _of("meta", "generated_at", "event_count", "note"),
+    "analyst_fallback": _of("fallback"),
+    "top_incident": lambda s, d: reports.top_incident(analysis(s, d).incidents).select("incident_id", "title", "risk"),
+    "question_answers": _answers,
+    "empty_run": _empty,
     "action_counts": lambda s, d: reports.count_by(events(s, d), "action"),
 }
