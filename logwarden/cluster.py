@@ -30,6 +30,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """A table whose rows a configured cap (or a file listing) bounds, as a literal relation.
+
+    Later queries then see a handful of local rows instead of the scan behind them.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, unlike a local one."""
     shared_folder(df.sparkSession)

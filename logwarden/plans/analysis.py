@@ -8,19 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fv
-from logwarden.cluster import written
+from logwarden.cluster import pin, written
 from logwarden.functions.text import run_label
 from logwarden.operators import detect, incidents, reports
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """A table of rows bounded by a configured cap as a literal relation.
-
-    Later queries then see a handful of local rows instead of the scan behind them.
-    """
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
-
-
 class Analysis:
     """All tables of one run over ``events`` (normalized event schema).
 

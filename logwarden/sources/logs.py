@@ -8,12 +8,14 @@ document cannot be split; JSON Lines is the form that scales.
 from __future__ import annotations
 
 import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fv
-from logwarden.cluster import broadcast_if_small
+from logwarden.cluster import broadcast_if_small, pin, written
 from logwarden.functions import text as tx
 from logwarden.schema import EVENT_COLUMNS, EVENT_SCHEMA
 
@@ -36,22 +38,27 @@ def list_sources(spark: SparkSession, paths: list[str] | str, max_file_bytes: in
     the last is kept, in the place of the first. ``max_file_bytes`` skips larger files.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    names = F.array(*[F.lit(os.path.basename(p)) for p in paths[:1000]])
     listed = spark.read.format("binaryFile").load(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
-        F.col("_metadata.file_size").alias("length"))
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"))
+    # One entry per file, as in Spark's own file index; scans leave out empty files.
+    key = lambda uri: re.sub(r"^([a-z0-9]+):/+", r"\1:/", unquote(uri))
+    found = {key(r.path): (r.path, r.length) for r in listed.toLocalIterator()}
+    for uri in spark.read.text(paths).inputFiles():
+        found.setdefault(key(uri), (uri, 0))
+    place = {p: i for i, p in reversed(list(enumerate(paths)))}
+
+    def order(path: str) -> tuple:
+        plain = re.sub(r"^[a-z0-9]+:", "", path)
+        return place.get(path, place.get(plain, len(place))), path
+
+    rows = [(found[p][0], os.path.basename(p), found[p][1], i) for i, p in enumerate(sorted(found, key=order), 1)]
+    files = spark.createDataFrame(rows, "path string, name string, length bigint, load_order int")
     if max_file_bytes is not None:
-        listed = listed.where(F.col("length") <= max_file_bytes)
-    # Windows here span files, not rows of files.
-    order = Window.orderBy(F.array_position(names, F.col("name")), "path")
-    files = listed.withColumn("load_order", F.row_number().over(order))
-    if keep_latest_by_name:
-        files = latest_by_name(files)
-    else:
-        files = files.withColumn("ordinal", F.col("load_order"))
+        files = files.where(F.col("length") <= max_file_bytes)
+    files = latest_by_name(files) if keep_latest_by_name else files.withColumn("ordinal", F.col("load_order"))
     slots = F.floor(F.col("length") / _SLOT_BYTES) + 1
-    before = F.sum(slots).over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
-    return files.select("path", "name", "length", "ordinal", F.coalesce(before, F.lit(0)).cast("bigint").alias("slot"))
+    before = F.sum(slots).over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))  # over files, not their rows
+    return pin(files.select("path", "name", "length", "ordinal", F.coalesce(before, F.lit(0)).cast("bigint").alias("slot")))
 
 
 def latest_by_name(files: DataFrame) -> DataFrame:
@@ -269,21 +276,43 @@ class Ingest:
         self.paths = [paths] if isinstance(paths, str) else list(paths)
         self.files = list_sources(spark, self.paths, max_file_bytes)
         lines = read_lines(spark, self.files, self.paths)
-        sniffed = sniff(lines) if not formats else sniff(lines.where(~F.col("file").isin(*formats) | (F.col("file").isin(
-            *[f for f, kind in formats.items() if kind == "csv"]))))
-        # Names of document candidates: one string per JSON file, as in the file listing itself.
-        candidates = sniffed.where(may_be_json()).join(self.files, F.col("file") == F.col("name")).select("path")
-        documents = read_documents(spark, self.files, [r.path for r in candidates.toLocalIterator()])
-        self.records = document_records(documents).where(F.col("records").isNotNull())
-        parsed = self.records.select("file", F.lit("json").alias("format"))
-        self.line_formats = line_formats(sniffed).join(parsed.select("file"), "file", "left_anti")
+        formats = formats or {}
+        known_csv = [f for f, kind in formats.items() if kind == "csv"]
+        unknown = ~F.col("file").isin(*formats) | F.col("file").isin(*known_csv)
+        # Written once: the formats are read by every later pass, the text is not scanned again.
+        sniffed = written(sniff(lines.where(unknown) if formats else lines), "sniffed")
+        # Paths of document candidates: one string per JSON file, as in the file listing itself.
+        candidates = sniffed.where(may_be_json()).join(F.broadcast(self.files), F.col("file") == F.col("name")).select("path")
+        paths_read = [r.path for r in candidates.toLocalIterator()]
+        self.line_formats = line_formats(sniffed)
+        self.formats = self.line_formats.select("file", "format")
+        documents = None
+        if paths_read:
+            records = document_records(read_documents(spark, self.files, paths_read))
+            documents = written(records.where(F.col("records").isNotNull()), "documents")
+            parsed = documents.select("file", F.lit("json").alias("format"))
+            self.line_formats = self.line_formats.join(parsed.select("file"), "file", "left_anti")
         if formats:
             given = spark.createDataFrame(list(formats.items()), "file string, given_format string")
             self.line_formats = (
                 self.line_formats.join(F.broadcast(given), "file", "full")
                 .withColumn("format", F.coalesce("given_format", "format")).drop("given_format"))
-        self.formats = self.line_formats.select("file", "format").unionByName(parsed)
-        self.events = parse_lines(lines, self.line_formats).unionByName(parse_documents(self.records)).select(*EVENT_COLUMNS)
+        self.line_formats = written(self.line_formats, "formats")
+        self.formats = self.line_formats.select("file", "format")
+        self.events = parse_lines(lines, self.line_formats).select(*EVENT_COLUMNS)
+        if documents is not None:
+            self.formats = self.formats.unionByName(parsed)
+            self.events = self.events.unionByName(parse_documents(documents).select(*EVENT_COLUMNS))
+
+    def stored(self, path: str | None = None) -> DataFrame:
+        """Events written once as Parquet (in the shared folder unless ``path`` is given) and read back.
+
+        Analyses read the events several times; storing them spares parsing the text each time.
+        """
+        if path is None:
+            return written(self.events, "events")
+        self.events.write.parquet(path)
+        return self.events.sparkSession.read.parquet(path)
 
     def summary(self) -> DataFrame:
         """Format and event count per file; a file without events counts 0, an unlisted format is log."""
