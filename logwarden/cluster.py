@@ -38,6 +38,15 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """More tasks for costly row-local work when a scan yields fewer splits than there are cores.
+
+    Large inputs have more splits than cores and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, unlike a local one."""
     shared_folder(df.sparkSession)

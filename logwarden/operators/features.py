@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fv
+from logwarden.cluster import broadcast_if_small
 from logwarden.operators import ranks
 from logwarden.schema import KDD_FEATURES, KDD_NUMERIC, require_columns
 
@@ -182,7 +183,7 @@ def stratified_split(df: DataFrame, key: Column, label: str, fraction: float = 0
     hashed = df.withColumn("split_hash", key_hash(key, seed))
     cut = ranks.order_statistics(
         hashed, "split_hash", {"cut": F.ceil(F.lit(fraction) * F.col("total_n")) - 1}, [label]).select(label, "cut")
-    return hashed.join(F.broadcast(cut), label).withColumn("in_train", F.col("split_hash") <= F.col("cut")).drop("split_hash", "cut")
+    return hashed.join(broadcast_if_small(cut), label).withColumn("in_train", F.col("split_hash") <= F.col("cut")).drop("split_hash", "cut")
 
 
 def sample_exactly(df: DataFrame, key: Column, n: int | Column, seed: str = "42") -> DataFrame:

@@ -13,7 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+MAX_BUCKETS = 8192
+
+
+def bucket_count(df: DataFrame) -> int:
+    """A power of two, at least twice the shuffle partitions, so every task gets ranges to order."""
+    wanted = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_BUCKETS, 1 << max(4, (wanted - 1).bit_length()))
 
 
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -22,17 +28,26 @@ def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataF
     return kept.groupBy(*groups, value).agg(F.count("*").alias("n"))
 
 
-def bucketed(counts: DataFrame, value: str, groups: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """``counts`` with a value-range bucket per group, from quantile-sketch bounds."""
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = counts.groupBy(*groups).agg(F.percentile_approx(value, probs, 1000).alias("bounds"))
+def bucketed(counts: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
+    """``counts`` with a value-range bucket per group, from quantile-sketch bounds.
+
+    The bucket (the number of bounds below the value) is found by halving, one projection a step.
+    """
+    buckets = bucket_count(counts)
+    probs = F.split(F.lit(" ".join(str(i / buckets) for i in range(1, buckets))), " ").cast("array<double>")
+    bounds = counts.groupBy(*groups).agg(F.percentile_approx(value, probs, max(1000, 4 * buckets)).alias("bounds"))
     joined = counts.join(bounds, list(groups)) if groups else counts.crossJoin(F.broadcast(bounds))
-    bucket = F.size(F.filter("bounds", lambda b: b < F.col(value)))
-    return joined.withColumn("bucket", bucket).drop("bounds")
+    found = joined.withColumn("bucket", F.lit(0))
+    step = buckets // 2
+    while step:
+        above = F.col(value) > F.get("bounds", F.col("bucket") + (step - 1))
+        found = found.withColumn("bucket", F.col("bucket") + F.when(above, step).otherwise(0))
+        step //= 2
+    return found.drop("bounds")
 
 
 def _offsets(parts: DataFrame, groups: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Per bucket: totals, totals of earlier buckets and of the group; at most ``BUCKETS`` rows a group."""
+    """Per bucket: totals, totals of earlier buckets and of the group; at most ``MAX_BUCKETS`` rows a group."""
     whole = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logwarden.cluster import spread
+
 _DIALECT = {
     "spark": {"K": "k", "Q": "`", "CLOCK": "date_format(ts, 'HH:mm')",
               "STAMP": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')", "SYSLOG": "date_format(ts, 'MMM dd HH:mm:ss')",
@@ -92,17 +94,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a text table for costly pattern matching."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table with the number inside ``props`` read once per row."""
     return table(spark, sf_dir, "events").selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_events(spark, sf_dir).selectExpr(*event_projection("spark"))
+    return spread(raw_events(spark, sf_dir)).selectExpr(*event_projection("spark"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_events(spark, sf_dir).selectExpr(*line_projection("spark"))
+    return spread(raw_events(spark, sf_dir)).selectExpr(*line_projection("spark"))
 
 
 _RAW_EVENTS_SQL = "(select *, cast(json_extract_string(props, '$.k') as int) as k from events)"
@@ -151,4 +158,4 @@ def field_projection(dialect: str) -> list[str]:
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_events(spark, sf_dir).selectExpr("event_id as ingest_seq", "k", *field_projection("spark"))
+    return spread(raw_events(spark, sf_dir)).selectExpr("event_id as ingest_seq", "k", *field_projection("spark"))

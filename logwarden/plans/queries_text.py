@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.functions import text as tx
-from logwarden.plans.driver_tables import CSV_HEADER, FIELD_LINES, fields, lines, table
+from logwarden.plans.driver_tables import CSV_HEADER, FIELD_LINES, fields, lines, table, texts
 from logwarden.sources import logs
 
 EVENT_FIELDS = ("ingest_seq", "file", "time_label", "hour", "source_ip", "dest_ip", "user as account", "host", "action", "status", "port")
@@ -62,7 +62,7 @@ def _file_formats(spark, sf_dir) -> DataFrame:
 
 def _classified(name: str, text: str, *keys: str):
     def build(spark, sf_dir) -> DataFrame:
-        df = table(spark, sf_dir, name).select(*keys, tx.classify(F.col(text)).alias("c"))
+        df = texts(spark, sf_dir, name, *keys, text).select(*keys, tx.classify(F.col(text)).alias("c"))
         return df.select(*keys, "c.action", "c.status")
     return build
 
@@ -73,13 +73,13 @@ def _class_counts(spark, sf_dir) -> DataFrame:
 
 def _addresses(spark, sf_dir) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.size(tx.all_ips(t)).cast("bigint").alias("n_ips"), tx.first_ip(t).alias("first_ip"), tx.second_ip(t).alias("second_ip"))
 
 
 def _text_fields(spark, sf_dir) -> DataFrame:
     t = F.col("text")
-    df = table(spark, sf_dir, "documents").select("doc_id", "text", tx.parse_time(t).alias("t"))
+    df = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text", tx.parse_time(t).alias("t"))
     return df.select("doc_id", tx.extract_user(t).alias("account"), tx.extract_host(t).alias("host"), tx.extract_port(t).alias("port"),
                      "t.time_label", "t.hour")
 

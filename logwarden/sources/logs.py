@@ -282,7 +282,7 @@ class Ingest:
         # Written once: the formats are read by every later pass, the text is not scanned again.
         sniffed = written(sniff(lines.where(unknown) if formats else lines), "sniffed")
         # Paths of document candidates: one string per JSON file, as in the file listing itself.
-        candidates = sniffed.where(may_be_json()).join(F.broadcast(self.files), F.col("file") == F.col("name")).select("path")
+        candidates = sniffed.where(may_be_json()).join(broadcast_if_small(self.files), F.col("file") == F.col("name")).select("path")
         paths_read = [r.path for r in candidates.toLocalIterator()]
         self.line_formats = line_formats(sniffed)
         self.formats = self.line_formats.select("file", "format")
