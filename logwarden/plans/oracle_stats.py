@@ -93,7 +93,7 @@ ORACLE = {
     "skewness_screen": "select 'value' feature, round(skewness(value), 5) skew from events union all select 'heavy', round(skewness(pow(value, 4)), 5) from events",
     "skewed_features": """select * from (select 'value' feature, round(skewness(value), 5) skew from events
       union all select 'heavy', round(skewness(pow(value, 4)), 5) from events) where abs(skew) > 3""",
-    "feature_inspection": """select 'l_quantity' feature, count(*) n, 0 nulls, min(l_quantity) as min, count(*) filter (l_quantity = 0) zeros, 0 infinities from lineitem
+    "feature_inspection": """select 'l_quantity' feature, count(*) n, cast(0 as bigint) nulls, min(l_quantity) as min, count(*) filter (l_quantity = 0) zeros, 0 infinities from lineitem
       union all select 'ratio', count(*), 0, round(min(case when l_tax > 0 then 1 / l_tax end), 6), 0, count(*) filter (l_tax = 0) from lineitem
       union all select 'fixed', count(*), 0, 1.0, 0, 0 from lineitem""",
     "leakage_candidates": "select 'time_label' feature",

@@ -73,6 +73,10 @@ def latest_by_name(files: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, files: DataFrame, paths: list[str] | str) -> DataFrame:
     """file, ingest_seq, value for every line of the listed files; splits are read in parallel."""
+    for setting in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        # Splits are at least the smaller of the two; shorter ones would share a slot.
+        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting)) < _SLOT_BYTES:
+            raise ValueError(f"{setting} must be at least {_SLOT_BYTES} bytes to keep the order of lines")
     row_mask = (1 << _ROW_BITS) - 1
     read = spark.read.text(paths if isinstance(paths, list) else [paths]).select(
         "value", F.col("_metadata.file_path").alias("path"),
@@ -314,9 +318,12 @@ class Ingest:
         self.events.write.parquet(path)
         return self.events.sparkSession.read.parquet(path)
 
-    def summary(self) -> DataFrame:
-        """Format and event count per file; a file without events counts 0, an unlisted format is log."""
-        counted = self.events.groupBy("file").agg(F.count("*").alias("n_events"))
+    def summary(self, events: DataFrame | None = None) -> DataFrame:
+        """Format and event count per file; a file without events counts 0, an unlisted format is log.
+
+        Stored ``events`` spare parsing the text for the counts.
+        """
+        counted = (self.events if events is None else events).groupBy("file").agg(F.count("*").alias("n_events"))
         return (
             self.files.select(F.col("name").alias("file"), "ordinal")
             .join(self.formats, "file", "left").join(counted, "file", "left")

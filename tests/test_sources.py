@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from helpers import write
 from logwarden.sources.logs import Ingest, csv_cells, latest_by_name, list_sources, parse_files
 from pyspark.sql import functions as F
@@ -7,8 +9,8 @@ from pyspark.sql import functions as F
 
 def events_of(spark, tmp_path, name, text):
     ingest = Ingest(spark, write(tmp_path, {name: text}))
-    row = ingest.summary().first()
-    return row.format, ingest.events.orderBy("ingest_seq").collect()
+    events = ingest.stored()
+    return ingest.summary(events).first().format, events.orderBy("ingest_seq").collect()
 
 
 def test_csv_cells(spark):
@@ -86,6 +88,16 @@ def test_line_order_over_many_splits(spark, tmp_path):
     assert got == lines
 
 
+def test_short_splits_are_refused(spark, tmp_path):
+    path = write(tmp_path, {"a.log": "x\n"})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        with pytest.raises(ValueError, match="maxPartitionBytes"):
+            parse_files(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_given_formats_skip_sniffing(spark, tmp_path):
     paths = write(tmp_path, {"a.log": "1,2\nfailed login", "t.csv": "ip,user\n1.1.1.1,x\n"})
     ingest = Ingest(spark, paths, formats={"a.log": "log", "t.csv": "csv"})
