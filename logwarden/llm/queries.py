@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.cluster import work_path
-from logwarden.llm import articles, forest, pieces, ranking, suffixes, warc
+from logwarden.llm import articles, backoff, forest, leaks, licences, pieces, ranking, suffixes, warc, weighted
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -52,6 +52,11 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, copied or edited, with their alignment."""
+    return leaks.alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by pairwise ranking."""
     docs = table(spark, sf_dir, "documents")
@@ -59,11 +64,43 @@ def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.scored(docs.select("doc_id", "text"), model).select("doc_id", ranking.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram stupid-backoff score of every document under the whole corpus."""
+    return backoff.scores(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\t\n\v\f\r ]+'), lambda x: x <> '') AS words FROM documents),
+r AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM t),
+b AS (SELECT doc_id, CASE WHEN i = 1 THEN '' ELSE words[i - 1] END AS v, words[i] AS w FROM r),
+c1 AS (SELECT w, count(*) AS c FROM b GROUP BY w),
+cv AS (SELECT v, count(*) AS c FROM b WHERE v = '' GROUP BY v UNION ALL SELECT w, c FROM c1),
+c2 AS (SELECT v, w, count(*) AS c FROM b GROUP BY v, w),
+n AS (SELECT count(*) AS n FROM b),
+s AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN c2.c >= 2 THEN ln(c2.c) - ln(cv.c) ELSE ln(0.4 / n.n) + ln(c1.c) END) AS score
+      FROM b JOIN c2 USING (v, w) JOIN cv ON cv.v = b.v JOIN c1 ON c1.w = b.w CROSS JOIN n GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(score, 0), 4) AS score, round(score / n_words, 6) AS mean_score
+FROM documents LEFT JOIN s USING (doc_id)"""
+
+
 def op8_page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return articles.extracted(table(spark, sf_dir, "pages"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, taken as the file source/lang/doc-N.txt."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scan(table(spark, sf_dir, "documents"), path)
+
+
+def op10_weighted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document."""
+    return weighted.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_salvage, op2_repeated_bytes, op3_nearest_vectors, op4_piece_codec, op6_quality_ranking, op8_page_articles)}
-SQL = {"op1_warc_salvage": OP1_SQL}
+    f.__name__: f for f in (op1_warc_salvage, op2_repeated_bytes, op3_nearest_vectors, op4_piece_codec, op5_benchmark_leaks,
+                         op6_quality_ranking, op7_backoff_scores, op8_page_articles, op9_licence_scan, op10_weighted_copies)}
+SQL = {"op1_warc_salvage": OP1_SQL, "op7_backoff_scores": OP7_SQL}
