@@ -7,7 +7,8 @@ buckets with two or more suffixes go on.
 1. *Route.* A suffix goes to the bucket of its window's least ``gram``-token stretch. Equal windows share it, at the
    same place, so a bucket can stand for all suffixes between two such stretches: one row per run of suffixes.
 2. *Whole runs.* Runs with equal text repeat in full. Unique buckets are dropped, each kind of run goes on once.
-3. *Suffixes.* What is left is opened into single suffixes, ordered by the rest of their ``window`` tokens.
+3. *Suffixes.* What is left is opened into single suffixes, ordered by the rest of their ``window`` tokens: bucket by bucket
+   from the text of its runs, or, for buckets of more than ``GROUP`` kinds of runs, spread over tasks by the whole key.
 
 Keys are 128 bits in all (bucket and rest), so that chance collisions stay unlikely beyond 10**15 windows.
 
@@ -26,13 +27,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logwarden.cluster import written
 from logwarden.llm.tokens import BASES, BYTE_CODES, Rolling, U, Words, encoded, mix
 
-PIECE = 1 << 20  # window starts handled at once
+PIECE = 1 << 19  # window starts handled at once
+GROUP = 4096
 _WORD = re.compile(rb"[^\t-\r ]+[\t-\r ]*")
 
 
@@ -110,54 +112,123 @@ def _find_runs(tokens: str, window: int, gram: int):
     return run
 
 
-def _open_runs(tokens: str, window: int):
-    """Single suffixes of the given runs. Rows without a place only say that the suffix occurs (too); ``twice``: it does so twice."""
-
-    def rows(ids, owners, marks, starts, buckets, rests, partners):
-        order = np.lexsort((rests, buckets))
-        b, r, p = buckets[order], rests[order], partners[order]
-        new = np.ones(len(b), dtype=bool)
-        new[1:] = (b[1:] != b[:-1]) | (r[1:] != r[:-1])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(b)))
-        lone = (count == 1) & ~p[first]
-        twice = count[np.cumsum(new) - 1] > 1
-        keep = order[first]
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(owners[keep])), pa.array(marks[owners[keep]]),
-             pa.array(np.where(lone, starts[keep], -1)), _signed(b[first]), _signed(r[first])],
-            names=["id", "mark", "start", "bucket", "rest"])
-        known = order[twice & ~p]  # repeated inside this group already
-        if len(known):
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(owners[known])), pa.array(marks[owners[known]]), pa.array(starts[known]),
-                 pa.nulls(len(known), pa.int64()), pa.nulls(len(known), pa.int64())],
-                names=["id", "mark", "start", "bucket", "rest"])
+def _texts_of_runs(tokens: str, window: int):
+    """The tokens of each run, as bytes: of the text itself, or eight for each word."""
+    kind = np.uint8 if tokens == "bytes" else np.uint64
 
     def run(batches):
+        names = ["bucket", "kinds", "id", "mark", "lo", "n", "solved", "codes"]
         for batch in batches:
-            ids, marks = batch.column("id"), np.array(batch.column("mark").to_pylist(), dtype=np.int64)
-            held, total = [], 0
+            held, size = [], 0
             for i in range(batch.num_rows):
                 text, runs = encoded(batch.column("text")[i].as_py()), batch.column("runs")[i]
-                codes = _codes(text, tokens)
-                made = {f: np.asarray(runs.values.field(f)) for f in ("lo", "n", "bucket", "solved")}
-                for at in range(0, len(made["lo"]), 4096):
-                    part = {f: v[at : at + 4096] for f, v in made.items()}
-                    n = part["n"].astype(np.int64)
-                    start = np.repeat(part["lo"] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-                    low = int(part["lo"].min())
-                    rolling = Rolling(codes[low : int((part["lo"] + n).max()) + window - 1], BASES[1])
-                    rest = mix(rolling.at(start - low, start - low + window))
-                    held.append((np.full(len(start), i), start, np.repeat(part["bucket"], n).view(np.uint64), rest, np.repeat(part["solved"], n)))
-                    total += len(start)
-                    if total >= PIECE:
-                        o, s, b, r, p = (np.concatenate(x) for x in zip(*held))
-                        yield from rows(ids, o, marks, s, b, r, p)
-                        held, total = [], 0
-            if held:
-                o, s, b, r, p = (np.concatenate(x) for x in zip(*held))
-                yield from rows(ids, o, marks, s, b, r, p)
+                codes = np.frombuffer(text, dtype=np.uint8) if tokens == "bytes" else _codes(text, tokens)
+                mark = batch.column("mark")[i].as_py()
+                for r in runs.as_py():
+                    data = codes[r["lo"] : r["lo"] + r["n"] + window - 1].astype(kind).tobytes()
+                    held.append((r["bucket"], r["kinds"], i, mark, r["lo"], r["n"], r["solved"], data))
+                    size += len(data)
+                if size >= 8 * PIECE or i + 1 == batch.num_rows and held:
+                    columns = list(zip(*held))
+                    kinds = [pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(c)) if k is None else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                    held, size = [], 0
+
+    return run
+
+
+def _opened(rows: pa.Table, tokens: str, window: int):
+    """All suffixes of the runs: run number, place in the run, bucket, rest; and which of them stand for runs solved already."""
+    data = [np.frombuffer(c, dtype=np.uint8) for c in rows.column("codes").to_pylist()]
+    flat = np.concatenate(data)
+    codes = BYTE_CODES[flat] if tokens == "bytes" else flat.view(np.uint64)
+    n = rows.column("n").to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.concatenate([[0], np.cumsum(n + window - 1)])[:-1]
+    at = begin[owner] + place
+    rest = mix(Rolling(codes, BASES[1]).at(at, at + window))
+    return owner, place, rows.column("bucket").to_numpy().astype(np.int64)[owner].view(np.uint64), rest, rows.column("solved").to_numpy(zero_copy_only=False)[owner]
+
+
+def _equal_groups(bucket: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, first of each group in it, and size of each group."""
+    order = np.lexsort((rest, bucket))
+    b, r = bucket[order], rest[order]
+    new = np.ones(len(b), dtype=bool)
+    new[1:] = (b[1:] != b[:-1]) | (r[1:] != r[:-1])
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(b)))
+
+
+def _stretches(rows: pa.Table, owner: np.ndarray, place: np.ndarray, hit: np.ndarray, window: int) -> pa.RecordBatch:
+    """Neighbouring repeated suffixes of a run as one stretch of tokens."""
+    o, p = owner[hit], place[hit]
+    new = np.ones(len(o), dtype=bool)
+    new[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(o))[: len(first)] - 1
+    run = o[first]
+    start = rows.column("lo").to_numpy()[run] + p[first]
+    take = lambda c: rows.column(c).combine_chunks().take(pa.array(run))
+    return pa.RecordBatch.from_arrays([take("id"), take("mark"), pa.array(start), pa.array(p[last] - p[first] + window)], names=["id", "mark", "start", "n_tokens"])
+
+
+def _inside_buckets(tokens: str, window: int):
+    """Repeated stretches of runs that come ordered by bucket, so that each bucket is whole."""
+    size = 1 if tokens == "bytes" else 8
+
+    def told(rows: pa.Table):
+        owner, place, bucket, rest, solved = _opened(rows, tokens, window)
+        order, _, count = _equal_groups(bucket, rest)
+        twice = np.zeros(len(order), dtype=bool)
+        twice[order] = np.repeat(count > 1, count)
+        hit = twice & ~solved
+        if hit.any():
+            yield _stretches(rows, owner, place, hit, window)
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([left, rows]).combine_chunks() if left is not None else rows
+            bucket = rows.column("bucket").to_numpy()
+            edges = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            total = np.cumsum([len(c.as_buffer()) for c in rows.column("codes")]) // size
+            begin = 0
+            for edge in edges.tolist():
+                if total[edge - 1] - (total[begin - 1] if begin else 0) >= PIECE or edge == edges[-1]:
+                    yield from told(rows.slice(begin, edge - begin).combine_chunks())
+                    begin = edge
+            left = rows.slice(begin)
+        if left is not None and left.num_rows:
+            yield from told(left.combine_chunks())
+
+    return run
+
+
+def _across_tasks(tokens: str, window: int):
+    """Suffixes of hot buckets, each key once from a group of runs: with its place if it may yet be single, else without; and
+    (bucket null) the places of keys that the group itself holds twice."""
+    names = ["id", "mark", "start", "bucket", "rest"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                rows = pa.Table.from_batches([batch.slice(at, 2048)])
+                owner, place, bucket, rest, solved = _opened(rows, tokens, window)
+                order, first, count = _equal_groups(bucket, rest)
+                lone = (count == 1) & ~solved[order[first]]
+                keep = order[first]
+                start = rows.column("lo").to_numpy()[owner] + place
+                take = lambda c, i: rows.column(c).combine_chunks().take(pa.array(owner[i]))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([take("id", keep), take("mark", keep), pa.array(np.where(lone, start[keep], -1)), _signed(bucket[keep]), _signed(rest[keep])],
+                                                 names=names)
+                twice = np.zeros(len(order), dtype=bool)
+                twice[order] = np.repeat(count > 1, count)
+                known = np.flatnonzero(twice & ~solved)
+                none = pa.nulls(len(known), pa.int64())
+                yield pa.RecordBatch.from_arrays([take("id", known), take("mark", known), pa.array(start[known]), none, none], names=names)
 
     return run
 
@@ -177,17 +248,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = written(kinds, "run-kinds")
     solved = kinds.filter("rows > 1").select("bucket", "rest", "n")
     whole = runs.join(solved, ["bucket", "rest", "n"]).select("id", "mark", F.col("lo").alias("start"), (F.col("n") + window - 1).cast("long").alias("n_tokens"))
-    shared = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("bucket")
-    opened = (kinds.join(shared, "bucket").select("one.*", "n", "bucket", (F.col("rows") > 1).alias("solved"))
-              .groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n", "bucket", "solved")).alias("runs")))
+    shared = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    opened = (kinds.join(shared, "bucket").select("one.*", "n", "bucket", "kinds", (F.col("rows") > 1).alias("solved"))
+              .groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n", "bucket", "kinds", "solved")).alias("runs")))
     left = opened.withColumnRenamed("id", "_id").withColumnRenamed("mark", "_mark")
     there = texts.join(left, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("id", "mark", "text", "runs")
-    suffixes = written(there.mapInArrow(_open_runs(tokens, window), f"id {kind}, mark long, start long, bucket long, rest long"), "suffixes")
-    keyed = suffixes.filter("bucket is not null")
-    again = keyed.groupBy("bucket", "rest").agg(F.count("*").alias("rows")).filter("rows > 1").select("bucket", "rest")
-    single = keyed.filter("start >= 0").join(again, ["bucket", "rest"], "left_semi").select("id", "mark", "start")
-    single = single.union(suffixes.filter("bucket is null").select("id", "mark", "start")).withColumn("n_tokens", F.lit(window).cast("long"))
-    return whole.union(single)
+    there = written(there.mapInArrow(_texts_of_runs(tokens, window), f"bucket long, kinds long, id {kind}, mark long, lo long, n int, solved boolean, codes binary"), "open-runs")
+    few = there.filter(F.col("kinds") <= GROUP).repartition("bucket").sortWithinPartitions("bucket")
+    single = few.mapInArrow(_inside_buckets(tokens, window), f"id {kind}, mark long, start long, n_tokens long")
+    many = there.filter(F.col("kinds") > GROUP).mapInArrow(_across_tasks(tokens, window), f"id {kind}, mark long, start long, bucket long, rest long")
+    counted = many.filter("bucket is not null").withColumn("rows", F.count("*").over(Window.partitionBy("bucket", "rest")))
+    hot = counted.filter("rows > 1 and start >= 0").select("id", "mark", "start").union(many.filter("bucket is null").select("id", "mark", "start"))
+    return whole.union(single).union(hot.withColumn("n_tokens", F.lit(window).cast("long")))
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
