@@ -238,18 +238,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Where windows of ``window`` tokens lie that also start elsewhere, in any text of ``docs``.
 
     Columns id, mark (hash of id and text), start and n_tokens; stretches of one document may overlap.
-    ``tokens`` is ``bytes`` (of the UTF-8 form) or ``words``. ``gram`` is the first digit's length, a third of the window by default.
+    ``tokens`` is ``bytes`` (of the UTF-8 form) or ``words``. ``gram`` is the first digit's length, a quarter of the window by default.
     """
-    gram = gram or max(1, window // 3)
+    gram = gram or max(1, window // 4)
     texts = _marked(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
     runs = written(texts.mapInArrow(_find_runs(tokens, window, gram), f"id {kind}, mark long, lo long, n int, bucket long, rest long"), "runs")
     kinds = runs.groupBy("bucket", "rest", "n").agg(F.count("*").alias("rows"), F.min(F.struct("id", "mark", "lo")).alias("one"))
-    kinds = written(kinds, "run-kinds")
+    # of the kinds that occur once, only those that share their bucket are needed
+    shared = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"))
+    kinds = written(kinds.join(shared, "bucket").filter("rows > 1 or kinds > 1"), "run-kinds")
     solved = kinds.filter("rows > 1").select("bucket", "rest", "n")
     whole = runs.join(solved, ["bucket", "rest", "n"]).select("id", "mark", F.col("lo").alias("start"), (F.col("n") + window - 1).cast("long").alias("n_tokens"))
-    shared = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    opened = (kinds.join(shared, "bucket").select("one.*", "n", "bucket", "kinds", (F.col("rows") > 1).alias("solved"))
+    opened = (kinds.filter("kinds > 1").select("one.*", "n", "bucket", "kinds", (F.col("rows") > 1).alias("solved"))
               .groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n", "bucket", "kinds", "solved")).alias("runs")))
     left = opened.withColumnRenamed("id", "_id").withColumnRenamed("mark", "_mark")
     there = texts.join(left, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("id", "mark", "text", "runs")
