@@ -191,13 +191,15 @@ def _signed_rows(docs: DataFrame, weights, words: int, bands: int, rows: int) ->
     return docs.mapInArrow(run, f"id {kind}, key binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights, words: int) -> DataFrame:
-    """Similarity of pairs (pivot, key). Each text is fetched once for its pairs; a pivot's pairs are cut into groups."""
+def _verified(pairs: DataFrame, texts: DataFrame, one: DataFrame, weights, words: int) -> DataFrame:
+    """Similarity of pairs (pivot, key). A pivot's pairs are cut into groups; the table of texts is shuffled once, to the
+    pairs' rows. ``one`` names a row of ``texts`` for each key (rows repeated in full give repeated pairs, dropped in the groups)."""
     sides = pairs.select("pivot", "key", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"))
     own = pairs.groupBy("pivot").agg(F.max("parts").alias("parts")).select(
         "pivot", F.col("pivot").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     sides = sides.union(own)
-    full = sides.join(texts, "key")
+    place = sides.join(one, "key").select("pivot", "key", "part", F.col("one").alias("_one"))
+    full = place.join(texts, (F.col("key") == F.col("_key")) & F.col("_one").eqNullSafe(F.col("_id"))).select("pivot", "key", "part", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         pivot = group["pivot"].iloc[0]
@@ -244,11 +246,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     pivots = buckets.groupBy("band", "bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = written(buckets.join(pivots, ["band", "bucket"]), "buckets")
     first = members.filter("key <> pivot").select("pivot", "key").distinct()
-    # one row of each text: that with the smallest id (rows repeated in full give repeated pairs, dropped in the groups)
     texts = docs.select(F.col(id_col).alias("_id"), text.alias("text")).withColumn("_key", _key(F.col("text")))
     one = nodes.select("key", "one")
-    texts = texts.join(one, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("one"))).select("key", "text")
-    tested = written(_verified(_with_parts(first), texts, weights, words), "tested")
+    tested = written(_verified(_with_parts(first), texts, one, weights, words), "tested")
     link = F.col("similarity") >= least
     labels = components(tested.filter(link).select(F.col("pivot").alias("a"), F.col("key").alias("b")))
     # distances to the bucket's pivot bound those between its members
@@ -263,7 +263,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     more = written(more.join(tested, ["pivot", "key"], "left_anti"), "more-pairs")
     links = tested
     if more.limit(1).count():
-        links = links.union(written(_verified(_with_parts(more), texts, weights, words), "tested"))
+        links = links.union(written(_verified(_with_parts(more), texts, one, weights, words), "tested"))
     links = links.filter(link).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
     labels = components(links)
     degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
