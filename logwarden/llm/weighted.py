@@ -8,9 +8,11 @@ passes: a shingle that frequent is so in some chunk of documents; the chunks' ca
 *Signatures.* For each of ``bands * rows`` draws, ICWS picks a shingle and a step, equal for two texts with probability
 equal to their weighted Jaccard similarity. Draws come from tables indexed by the shingle's hash. ``rows`` draws make a band.
 
-*Links.* Texts are nodes, equal texts are one. In each bucket all are verified against one pivot; distance (1 - similarity)
+*Links.* Texts are nodes, equal texts are one. In each bucket all are verified against one pivot, the text with the most
+bucket mates overall; distance (1 - similarity)
 is a metric, so of the other pairs only those in different groups, whose distances to the pivot differ by no more than
-``1 - similarity``, need to be verified too: no link between candidates is lost, no bucket is expanded into all pairs.
+``1 - similarity``, need to be verified too, and of these only such whose shingles that occur in another text at all weigh
+enough for a link: no link between candidates is lost, no bucket is expanded into all pairs.
 Groups of pairs are cut to ``GROUP`` texts, buckets are counted in the map tasks first. Linked texts form classes.
 
 Null texts count as empty; texts without words are near copies of each other. Null ids are kept as such, and repeated rows
@@ -212,6 +214,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, one: DataFrame, weights, words
     return full.groupBy("pivot", "part").applyInPandas(run, "pivot binary, key binary, similarity double")
 
 
+def _shareable(keys: DataFrame, texts: DataFrame, one: DataFrame, weights, words: int) -> DataFrame:
+    """(key, total, shared): weight of each text, and of those of its shingles that another of these texts holds too."""
+    def run(batches):
+        for batch in batches:
+            found = [weighted_set(encoded(t), weights.value, words) for t in batch.column(1).to_pylist()]
+            for at in range(0, len(found), 500):
+                part = found[at : at + 500]
+                row = np.repeat(np.arange(at, at + len(part)), [len(h) for h, _ in part])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), pa.array(np.concatenate([h for h, _ in part]).view(np.int64)), pa.array(np.concatenate([w for _, w in part]))],
+                    names=["key", "shingle", "weight"])
+
+    place = keys.join(one, "key").select("key", F.col("one").alias("_one"))
+    full = place.join(texts, (F.col("key") == F.col("_key")) & F.col("_one").eqNullSafe(F.col("_id"))).select("key", "text").dropDuplicates(["key"])
+    rows = written(full.mapInArrow(run, "key binary, shingle long, weight double"), "open-shingles")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle", F.lit(1).alias("held"))
+    return rows.join(held, "shingle", "left").groupBy("key").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("held") == 1, F.col("weight")).otherwise(0.0)).alias("shared"))
+
+
 def _with_parts(pairs: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
     return pairs.join(sizes, "pivot")
@@ -243,8 +264,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     signed = written(_signed_rows(docs.select(F.col(id_col).alias("id"), text.alias("text")), weights, words, bands, rows), "signatures")
     nodes = signed.groupBy("key").agg(F.first("bands").alias("bands"), F.min("id").alias("one"))
     buckets = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
-    pivots = buckets.groupBy("band", "bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = written(buckets.join(pivots, ["band", "bucket"]), "buckets")
+    sizes = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(buckets.join(sizes, ["band", "bucket"]), "bucket-sizes")
+    # the pivot is the text with most bucket mates: an original has more than its copies, so most links are found from it
+    mates = members.groupBy("key").agg(F.sum("n").alias("mates"))
+    members = members.join(mates, "key").select("key", "band", "bucket", "mates")
+    pivots = members.groupBy("band", "bucket").agg(F.max(F.struct("mates", "key")).alias("p")).select("band", "bucket", F.col("p.key").alias("pivot"))
+    members = written(members.drop("mates").join(pivots, ["band", "bucket"]), "buckets")
     first = members.filter("key <> pivot").select("pivot", "key").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), text.alias("text")).withColumn("_key", _key(F.col("text")))
     one = nodes.select("key", "one")
@@ -256,8 +282,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     known = known.join(labels, known.key == labels.node, "left").select("band", "bucket", "key", "far", F.coalesce("label", "key").alias("label"))
     split = known.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2")
     open_ = known.filter("far > 0").join(split.select("band", "bucket"), ["band", "bucket"], "left_semi")
+    open_ = written(open_, "open")
+    open_ = open_.join(_shareable(open_.select("key").distinct(), texts, one, weights, words), "key")
     x, y = open_.alias("x"), open_.alias("y")
     near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9
+    most = F.least("x.shared", "y.shared")  # no pair can have more in common
+    near = near & (most >= least * (F.col("x.total") + F.col("y.total") - most) - 1e-9)
     more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key"))
                   & (F.col("x.label") != F.col("y.label")) & near).select(F.col("x.key").alias("pivot"), F.col("y.key").alias("key")).distinct()
     more = written(more.join(tested, ["pivot", "key"], "left_anti"), "more-pairs")
