@@ -1,8 +1,8 @@
 """Test items that leaked into training texts: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 *Seeds.* How many documents hold each ``gram``-word run of the items is counted over all documents. A run is a seed if at most
-``rare`` of the documents hold it, or if it is the rarest among ``spacing`` neighbours, so a passage that a third of the
-documents copy keeps seeds too. *Passages.* Every seed found in a document proposes the stretch in which the rest of the
+``rare`` of the documents (or ``FEW``) hold it, or not many more than hold the item's other runs, or if it is the rarest among
+``spacing`` neighbours, so a passage that a third of the documents copy keeps its seeds. *Passages.* Every seed found in a document proposes the stretch in which the rest of the
 item would lie, with half an item of room for insertions; overlapping stretches become one. *Alignment.* The best local
 alignment (match 2, mismatch and gap -1) over that of the whole item with itself is the score; edited and paraphrased
 copies keep a high one.
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
+FEW = 20  # documents that may hold a run of words for it to be rare in any case
 SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word long, n_matches long"
 
 
@@ -126,7 +127,8 @@ class Items:
             n = min(self.gram, len(w))
             runs = [tuple(w[at : at + n].tolist()) for at in range(len(w) - n + 1)]
             counts = [df.get(self.numbers[g], 0) for g in runs]
-            chosen = {at for at, c in enumerate(counts) if c <= most}
+            usual = sorted(counts)[len(counts) // 4]  # runs of an item that is copied n times occur n times: no reason to leave them out
+            chosen = {at for at, c in enumerate(counts) if c <= max(most, FEW, 4 * usual)}
             for at in range(max(1, len(runs) - spacing + 1)):
                 chosen.add(min(range(at, min(at + spacing, len(runs))), key=lambda j: (counts[j], j)))
             for at in chosen:
