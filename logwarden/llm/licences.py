@@ -89,7 +89,7 @@ def similar(rows: DataFrame, keys: list[str], given: DataFrame, least: float) ->
 
 
 def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", given: DataFrame | None = None, least: float = 0.75,
-         least_file: float = 0.6) -> DataFrame:
+         least_file: float = 0.9) -> DataFrame:
     """Per file: id, path, ``licence`` (null if none), ``similarity``, ``origin`` (header, inherited or none) and ``from_dir``."""
     given = templates(files.sparkSession) if given is None else given
     rows = files.select(F.col(id_col).alias("id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
