@@ -33,9 +33,9 @@ def fpr_thresholds(normal: DataFrame, score: str = "score", fprs: Sequence[float
     return found.select(F.inline(rows))
 
 
-def risk_bounds(calibration: DataFrame, attacks: DataFrame, key: Column, score: str = "score", n_attacks: int = 3000) -> DataFrame:
-    """score_low, score_high: 1st and 99th percentile of calibration plus sampled attack scores."""
-    sampled = sample_exactly(attacks, key, n_attacks)
+def risk_bounds(calibration: DataFrame, attacks: DataFrame, key: Column, score: str = "score", n_attacks: int | None = None) -> DataFrame:
+    """score_low, score_high: 1st and 99th percentile of calibration plus attack scores (a sample of ``n_attacks``, if given)."""
+    sampled = attacks if n_attacks is None else sample_exactly(attacks, key, n_attacks)
     both = calibration.select(score).unionByName(sampled.select(score))
     return ranks.exact_quantiles(both, score, {"score_low": 0.01, "score_high": 0.99}).select("score_low", "score_high")
 

@@ -145,9 +145,11 @@ def record_features(df: DataFrame) -> DataFrame:
 
 def feature_subset(name: str) -> list[str]:
     """Columns of a named subset of the 41 features."""
-    left_out = fv.FEATURE_SUBSET_EXCLUSIONS[name]
-    prefixes = tuple(x[:-1] for x in left_out if x.endswith("*"))
-    return [c for c in KDD_FEATURES if c not in left_out and not (prefixes and c.startswith(prefixes))]
+    if name == "baseline_41":
+        return list(KDD_FEATURES)
+    if name == "without_host_stats":
+        return [c for c in KDD_FEATURES if not c.startswith("dst_host_")]
+    return list(fv.FEATURE_SUBSETS[name])
 
 
 def ablation_sets(engineered: Sequence[str]) -> dict[str, list[str]]:

@@ -73,14 +73,13 @@ def audit_by_file(df: DataFrame, file: str) -> DataFrame:
 
 
 def class_distribution(df: DataFrame, dataset: str, label: str, category: str) -> DataFrame:
-    """Counts and percentages of the dataset by class and by category (grouping sets)."""
-    counted = df.groupingSets([[dataset, label], [dataset, category]], dataset, label, category).agg(F.count("*").alias("n"))
-    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(dataset, F.col("level")))
-    return (
-        counted.withColumn("level", F.when(F.col(category).isNull(), "class").otherwise("category"))
-        .select(dataset, "level", F.coalesce(F.col(label).cast("string"), F.col(category).cast("string")).alias("value"), "n",
-                share.alias("percent"))
-    )
+    """Counts and percentages of the dataset by class and by category (grouping sets). Null classes and categories are left out."""
+    counted = df.groupingSets([[dataset, label], [dataset, category]], dataset, label, category).agg(
+        F.count("*").alias("n"), F.grouping(F.col(category)).alias("by_class"))
+    is_class = F.col("by_class") == 1
+    value = F.when(is_class, F.col(label).cast("string")).otherwise(F.col(category).cast("string"))
+    told = counted.select(dataset, F.when(is_class, "class").otherwise("category").alias("level"), value.alias("value"), "n").where("value is not null")
+    return told.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(dataset, "level")))
 
 
 def moments(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

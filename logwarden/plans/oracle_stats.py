@@ -142,7 +142,7 @@ ORACLE = {
         for f in TARGET_FPRS),
     "upper_tail_threshold": f"with {_SCORED}, {_PROB} select 'fpr_5pct' operating_point, 0.05::double target_fpr, round(quantile_cont(score, 0.95), 6) threshold from pr where y = 0 and not fit",
     "risk_bounds": f"""with {_SCORED} select round(quantile_cont(score, 0.01), 6) score_low, round(quantile_cont(score, 0.99), 6) score_high from (
-      select score from sc where y = 0 and not fit union all select score from (select * from sc where y = 1 order by {_hash('event_id')} limit 3000))""",
+      select score from sc where y = 0 and not fit union all select score from sc where y = 1)""",
     "detector_metrics": f"with {_SCORED}, m as (select {_confusion('score < 12.5')} from sc) {_rates('m')}",
     "auc": _auc(f"{_SCORED}, s as (select * from sc)"),
     "toxicity_auc": _auc("s as (select n_chars score, toxic y from documents join labels using (doc_id))"),

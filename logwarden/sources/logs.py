@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,11 +32,12 @@ _FIELDS = tuple(fv.FIELD_ALIASES)
 
 
 def list_sources(spark: SparkSession, paths: list[str] | str, max_file_bytes: int | None = None,
-                 keep_latest_by_name: bool = True) -> DataFrame:
+                 keep_latest_by_name: bool = False) -> DataFrame:
     """One row per file: path, name, length, ordinal, slot. Reads no file content.
 
-    Files named in ``paths`` keep that order; others follow their path. Of equally named files
-    the last is kept, in the place of the first. ``max_file_bytes`` skips larger files.
+    Files named in ``paths`` keep that order; others follow their path. Equally named files go by their whole path.
+    ``keep_latest_by_name`` is for uploads that replace each other: of equally named files the last is kept, in the
+    place of the first. ``max_file_bytes`` skips larger files.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     listed = spark.read.format("binaryFile").load(paths).select(
@@ -51,7 +53,9 @@ def list_sources(spark: SparkSession, paths: list[str] | str, max_file_bytes: in
         plain = re.sub(r"^[a-z0-9]+:", "", path)
         return place.get(path, place.get(plain, len(place))), path
 
-    rows = [(found[p][0], os.path.basename(p), found[p][1], i) for i, p in enumerate(sorted(found, key=order), 1)]
+    bases = Counter(os.path.basename(p) for p in found)
+    named = lambda p: os.path.basename(p) if keep_latest_by_name or bases[os.path.basename(p)] == 1 else p
+    rows = [(found[p][0], named(p), found[p][1], i) for i, p in enumerate(sorted(found, key=order), 1)]
     files = spark.createDataFrame(rows, "path string, name string, length bigint, load_order int")
     if max_file_bytes is not None:
         files = files.where(F.col("length") <= max_file_bytes)
@@ -276,9 +280,9 @@ class Ingest:
     """
 
     def __init__(self, spark: SparkSession, paths: list[str] | str, formats: dict[str, str] | None = None,
-                 max_file_bytes: int | None = None):
+                 max_file_bytes: int | None = None, keep_latest_by_name: bool = False):
         self.paths = [paths] if isinstance(paths, str) else list(paths)
-        self.files = list_sources(spark, self.paths, max_file_bytes)
+        self.files = list_sources(spark, self.paths, max_file_bytes, keep_latest_by_name)
         lines = read_lines(spark, self.files, self.paths)
         formats = formats or {}
         known_csv = [f for f, kind in formats.items() if kind == "csv"]

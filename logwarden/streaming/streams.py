@@ -67,17 +67,20 @@ def hostile_counts(events: DataFrame) -> DataFrame:
         F.count("*").alias("n_events"), F.count_if(is_alert(F.col("status"))).alias("n_alerts"))
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", timeout: int = 600) -> DataFrame:
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", timeout: int | None = None) -> DataFrame:
     """Process everything that has arrived and stop; every batch lands in its own folder.
 
-    A batch that is retried overwrites its own folder, so results stay exact after a failure.
+    Waits without limit, or raises when ``timeout`` seconds were not enough: a part is never returned as the whole. A batch that is retried overwrites its own folder, so results stay exact after a failure.
     """
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(land).start()
     try:
-        query.awaitTermination(timeout)
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
+            raise TimeoutError(f"stream not done after {timeout} s; its checkpoint lets the next call go on")
     finally:
         query.stop()
     spark = stream.sparkSession

@@ -70,7 +70,7 @@ def test_order_duplicates_size_and_empty_files(spark, tmp_path):
     (tmp_path / "two").mkdir()
     paths = write(tmp_path / "one", {"b.log": "old line\n", "a.log": "second\nthird\n", "empty.log": "", "big.log": "x\n" * 1000})
     paths += write(tmp_path / "two", {"b.log": "first\n"})
-    ingest = Ingest(spark, paths, max_file_bytes=500)
+    ingest = Ingest(spark, paths, max_file_bytes=500, keep_latest_by_name=True)
     assert [r.raw for r in ingest.events.orderBy("ingest_seq").collect()] == ["first", "second", "third"]
     summary = {r.file: (r.format, r.n_events) for r in ingest.summary().collect()}
     assert summary == {"b.log": ("log", 1), "a.log": ("log", 2), "empty.log": ("log", 0)}
@@ -107,3 +107,12 @@ def test_given_formats_skip_sniffing(spark, tmp_path):
 def test_latest_by_name(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "name string, load_order int")
     assert {(r.name, r.load_order, r.ordinal) for r in latest_by_name(rows).collect()} == {("a", 3, 1), ("b", 2, 2)}
+
+
+def test_equal_base_names_in_dated_folders_are_all_kept(spark, tmp_path):
+    for day in ("dt=2026-03-01", "dt=2026-03-02"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "part-00000.log").write_text(f"event of {day}\n")
+    ingest = Ingest(spark, [str(tmp_path / "dt=2026-03-01"), str(tmp_path / "dt=2026-03-02")])
+    assert sorted(r.raw for r in ingest.events.collect()) == ["event of dt=2026-03-01", "event of dt=2026-03-02"]
+    assert ingest.events.select("file").distinct().count() == 2
