@@ -12,7 +12,9 @@ equal to their weighted Jaccard similarity. Draws come from tables indexed by th
 bucket mates overall; distance (1 - similarity)
 is a metric, so of the other pairs only those in different groups, whose distances to the pivot differ by no more than
 ``1 - similarity``, need to be verified too, and of these only such whose shingles that occur in another text at all weigh
-enough for a link: no link between candidates is lost, no bucket is expanded into all pairs.
+enough for a link. What two texts can share is bounded by their profiles, the weight of such shingles in each of ``PROFILE``
+hash classes: they share at most the sum of the smaller weights. No link between candidates is lost, no bucket is expanded
+into all pairs.
 Groups of pairs are cut to ``GROUP`` texts, buckets are counted in the map tasks first. Linked texts form classes.
 
 Null texts count as empty; texts without words are near copies of each other. Null ids are kept as such, and repeated rows
@@ -39,6 +41,8 @@ CHUNK = 1 << 20
 COUNTED = 4_000_000  # shingles counted together
 TABLE_ROWS = 2_000_000  # largest candidate table sent to tasks; more are counted by a shuffle
 GROUP = 256
+DEAL_ROWS = 20_000  # rows of a group of cells
+PROFILE = 128  # hash classes of shingles in a text's profile
 _RNG = np.random.default_rng(5521)
 _R = -np.log(_RNG.random(1 << 16) * _RNG.random(1 << 16))
 _LOG_C = np.log(-np.log(_RNG.random(1 << 16) * _RNG.random(1 << 16)))
@@ -215,7 +219,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, one: DataFrame, weights, words
 
 
 def _shareable(keys: DataFrame, texts: DataFrame, one: DataFrame, weights, words: int) -> DataFrame:
-    """(key, total, shared): weight of each text, and of those of its shingles that another of these texts holds too."""
+    """(key, total, shared, profile): weight of each text, and of those of its shingles that another of these texts holds too, whole and by hash class."""
     def run(batches):
         for batch in batches:
             found = [weighted_set(encoded(t), weights.value, words) for t in batch.column(1).to_pylist()]
@@ -230,7 +234,42 @@ def _shareable(keys: DataFrame, texts: DataFrame, one: DataFrame, weights, words
     full = place.join(texts, (F.col("key") == F.col("_key")) & F.col("_one").eqNullSafe(F.col("_id"))).select("key", "text").dropDuplicates(["key"])
     rows = written(full.mapInArrow(run, "key binary, shingle long, weight double"), "open-shingles")
     held = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle", F.lit(1).alias("held"))
-    return rows.join(held, "shingle", "left").groupBy("key").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("held") == 1, F.col("weight")).otherwise(0.0)).alias("shared"))
+    parts = rows.join(held, "shingle", "left").groupBy("key", F.pmod("shingle", F.lit(PROFILE)).cast("int").alias("part")).agg(
+        F.sum("weight").alias("total"), F.sum(F.when(F.col("held") == 1, F.col("weight")).otherwise(0.0)).alias("shared"))
+    whole = parts.groupBy("key").agg(F.sum("total").alias("total"), F.sum("shared").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "shared"))).alias("by"))
+    classes_ = F.sequence(F.lit(0), F.lit(PROFILE - 1))
+    return whole.select("key", "total", "shared", F.transform(classes_, lambda i: F.coalesce(F.col("by")[i], F.lit(0.0))).alias("profile"))
+
+
+def _open_pairs(open_: DataFrame, least: float) -> DataFrame:
+    """Pairs (pivot, key) of one bucket with different labels that the bounds leave open. Buckets are cut into blocks of about ``GROUP`` texts,
+    each pair of blocks is a cell, and cells are dealt to groups of bounded size."""
+    open_ = written(open_, "open-profiles")
+    sizes = open_.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / GROUP).cast("long"))
+    rows = sizes.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
+    deals = max(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / DEAL_ROWS))
+    cut = open_.join(sizes.drop("n"), ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    cells = cells.select(F.pmod(F.xxhash64("band", "bucket", "lo", "hi"), F.lit(deals)).alias("deal"), "band", "bucket", "lo", "hi",
+                         (F.col("block") > F.col("other")).alias("second"), "key", "label", "far", "total", "profile")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found: set[tuple[bytes, bytes]] = set()
+        for (_, _, lo, hi), cell in group.groupby(["band", "bucket", "lo", "hi"], sort=False):
+            key, label, second = cell["key"].to_numpy(), cell["label"].to_numpy(), cell["second"].to_numpy()
+            far, total, profile = cell["far"].to_numpy(), cell["total"].to_numpy(), np.stack(cell["profile"].to_numpy())
+            for i in range(len(key)):
+                if lo != hi and second[i]:
+                    continue
+                at = np.arange(i + 1, len(key)) if lo == hi else np.flatnonzero(second)
+                at = at[(label[at] != label[i]) & (np.abs(far[at] - far[i]) <= 1 - least + 1e-9)]
+                common = np.minimum(profile[at], profile[i]).sum(axis=1)
+                at = at[common >= least * (total[at] + total[i] - common) - 1e-9]
+                found.update((min(key[i], key[j]), max(key[i], key[j])) for j in at)
+        return pd.DataFrame(sorted(found), columns=["pivot", "key"])
+
+    return cells.groupBy("deal").applyInPandas(run, "pivot binary, key binary").distinct()
 
 
 def _with_parts(pairs: DataFrame) -> DataFrame:
@@ -283,13 +322,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     split = known.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2")
     open_ = known.filter("far > 0").join(split.select("band", "bucket"), ["band", "bucket"], "left_semi")
     open_ = written(open_, "open")
-    open_ = open_.join(_shareable(open_.select("key").distinct(), texts, one, weights, words), "key")
-    x, y = open_.alias("x"), open_.alias("y")
-    near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9
-    most = F.least("x.shared", "y.shared")  # no pair can have more in common
-    near = near & (most >= least * (F.col("x.total") + F.col("y.total") - most) - 1e-9)
-    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key"))
-                  & (F.col("x.label") != F.col("y.label")) & near).select(F.col("x.key").alias("pivot"), F.col("y.key").alias("key")).distinct()
+    open_ = open_.join(_shareable(open_.select("key").distinct(), texts, one, weights, words).filter(F.col("shared") >= least * F.col("total") - 1e-9), "key")
+    more = _open_pairs(open_, least)
     more = written(more.join(tested, ["pivot", "key"], "left_anti"), "more-pairs")
     links = tested
     if more.limit(1).count():
