@@ -193,6 +193,32 @@ def test_weighted_copies(spark):
     assert all(got[i] == i for i in range(9, 14)) and weighted.classes(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("group", [7, 256])
+def test_open_pairs_of_weighted_copies_lose_no_link(spark, monkeypatch, group):
+    """One bucket of many edited copies, cut into one or several blocks: every linked pair stays, and few others do."""
+    monkeypatch.setattr(weighted, "GROUP", group)
+    monkeypatch.setattr(weighted, "DEAL_ROWS", 50)
+    r = random.Random(21)
+    base = prose(120, r).split()
+    texts = [" ".join("".join(r.choice("xyz") for _ in range(9)) if i in spots else w for i, w in enumerate(base))
+             for spots in (set(r.sample(range(120), r.randint(1, 6))) for _ in range(40))]
+    light = weighted.Weights(np.zeros(0, dtype=np.uint64), np.zeros(0), 1000, 0.001)
+    sets = [weighted.weighted_set(t.encode(), light, 5) for t in texts]
+    links = {(i, j) for i in range(40) for j in range(i) if weighted.similarity(sets[i], sets[j]) >= 0.8}
+    keys = [hashlib.md5(t.encode()).digest() for t in texts]
+    place = {k: i for i, k in enumerate(keys)}
+    rows = [(0, 5, k, 1 - weighted.similarity(sets[0], s), k) for k, s in zip(keys, sets)]
+    open_ = spark.createDataFrame(rows, "band int, bucket long, key binary, far double, label binary").dropDuplicates(["key"])
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, keys))], "_id long, text string, _key binary")
+    sent = spark.sparkContext.broadcast(light)
+    shared = weighted._shareable(open_.select("key"), docs, docs.groupBy(F.col("_key").alias("key")).agg(F.min("_id").alias("one")), sent, 5)
+    got = weighted._open_pairs(open_.join(shared, "key"), 0.8).collect()
+    found = {tuple(sorted((place[bytes(x.pivot)], place[bytes(x.key)]), reverse=True)) for x in got}
+    assert len(found) == len(got)
+    assert links and links <= found
+    assert len(found) < 2 * len(links), (len(found), len(links))
+
+
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(5)
     item, shared, near = prose(30, r), prose(60, r), prose(150, r)
