@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -159,6 +160,27 @@ def test_backoff_by_hand(spark):
     assert all(np.isclose(rare[i].score, got[i].score) for i in got)
 
 
+@pytest.mark.parametrize("common, hot", [(1e-6, 1e-3), (0.02, 0.05), (0.5, 0.6)])
+def test_backoff_of_rare_and_hot_words(spark, monkeypatch, common, hot):
+    """Every split into rare, frequent and hot words gives the plain definition; equal and null ids are one document."""
+    monkeypatch.setattr(backoff, "LEAST_BUCKETS", 8)
+    r = random.Random(11)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randint(0, 60))) for _ in range(60)]
+    ids = [None, None, 5, 5, -7, *range(100, 155)]
+    pairs = [[(v, w) for v, w in zip(["", *t.split()], t.split())] for t in texts]
+    c2, c1 = Counter(p for x in pairs for p in x), Counter(w for x in pairs for _, w in x)
+    c1[""], total = sum(1 for x in pairs if x), sum(map(len, pairs))
+    want = Counter()
+    for i, x in zip(ids, pairs):
+        want[i] += sum(np.log(c2[p] / c1[p[0]]) if c2[p] >= 2 else np.log(0.4 * c1[p[1]] / total) for p in x)
+    for cast in ("long", "string"):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(cast))
+        got = backoff.scores(docs, common=common, hot=hot).collect()
+        assert len(got) == 60
+        for row in got:
+            assert np.isclose(row.score, want[None if row.doc_id is None else int(row.doc_id)])
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies, ok.</div><div id=wrap><article><h1>Head &amp; line</h1><p>First, with <b>bold<br>words.<p>Second &eacute; para,
 graph.<div class="ad">Buy, now, please</div><form>Name <input></form><ul><li>one<li>two</ul></article><aside>Other, things</aside>
