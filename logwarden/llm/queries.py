@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.cluster import work_path
-from logwarden.llm import articles, backoff, forest, leaks, licences, pieces, ranking, suffixes, warc, weighted
+from logwarden.llm import articles, backoff, forest, leaks, licences, pieces, ranking, suffixes, trigrams, warc, weighted
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -84,6 +84,24 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(score, 0), 4) AS
 FROM documents LEFT JOIN s USING (doc_id)"""
 
 
+def op7_trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram stupid-backoff score of every document under the whole corpus, with every count."""
+    return trigrams.scores(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+#: Every trigram of a document occurs in the corpus, so none steps back.
+OP7_TRIGRAM_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\t\n\v\f\r ]+'), lambda x: x <> '') AS words FROM documents),
+r AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM t),
+b AS (SELECT doc_id, CASE WHEN i <= 2 THEN '' ELSE words[i - 2] END AS u, CASE WHEN i = 1 THEN '' ELSE words[i - 1] END AS v, words[i] AS w FROM r),
+c3 AS (SELECT u, v, w, count(*) AS c FROM b GROUP BY u, v, w),
+c2 AS (SELECT v AS u, w AS v, count(*) AS c FROM b GROUP BY v, w UNION ALL SELECT '', '', count(*) FROM b WHERE v = ''),
+s AS (SELECT doc_id, count(*) AS n_words, sum(ln(c3.c) - ln(c2.c)) AS score FROM b JOIN c3 USING (u, v, w) JOIN c2 ON c2.u = b.u AND c2.v = b.v GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(score, 0), 4) AS score, round(score / n_words, 6) AS mean_score
+FROM documents LEFT JOIN s USING (doc_id)"""
+
+
 def op8_page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return articles.extracted(table(spark, sf_dir, "pages"))
@@ -103,4 +121,6 @@ def op10_weighted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_salvage, op2_repeated_bytes, op3_nearest_vectors, op4_piece_codec, op5_benchmark_leaks,
                          op6_quality_ranking, op7_backoff_scores, op8_page_articles, op9_licence_scan, op10_weighted_copies)}
-SQL = {"op1_warc_salvage": OP1_SQL, "op7_backoff_scores": OP7_SQL}
+#: Second queries of an operator, beside the one that its SQL holds to a smaller job.
+MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_trigram_scores": op7_trigram_scores}
+SQL = {"op1_warc_salvage": OP1_SQL, "op7_backoff_scores": OP7_SQL, "op7_trigram_scores": OP7_TRIGRAM_SQL}

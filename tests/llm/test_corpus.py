@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logwarden.llm import articles, backoff, forest, leaks, licences, pieces, queries, ranking, suffixes, warc, weighted
+from logwarden.llm import articles, backoff, forest, leaks, licences, pieces, queries, ranking, suffixes, trigrams, warc, weighted
 
 R = random.Random(3)
 VOCABULARY = ["".join(R.choice("abcdefgh") for _ in range(R.randint(2, 7))) for _ in range(400)]
@@ -181,6 +181,30 @@ def test_backoff_of_rare_and_hot_words(spark, monkeypatch, common, hot):
             assert np.isclose(row.score, want[None if row.doc_id is None else int(row.doc_id)])
 
 
+@pytest.mark.parametrize("least, common, hot", [(1, 1e-6, 1e-3), (1, 0.02, 0.02), (2, 0.02, 0.02), (3, 0.5, 0.6), (2, 1e-6, 1e-3)])
+def test_trigram_backoff(spark, monkeypatch, least, common, hot):
+    """Every count of trigrams, then pairs, then words; every split into rare and hot gives the plain definition."""
+    monkeypatch.setattr(backoff, "LEAST_BUCKETS", 8)
+    r = random.Random(12)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randint(0, 60))) for _ in range(60)]
+    texts[40:44] = ["w1 w1 w1", "w1", None, "w1 w1"]
+    ids = [None, None, 5, 5, -7, *range(100, 155)]
+    triples = [[*zip(["", "", *x], ["", *x], x)] for x in ((t or "").split() for t in texts)]
+    c3, c2 = Counter(p for x in triples for p in x), Counter(p[1:] for x in triples for p in x)
+    c1, total = Counter(w for x in triples for _, _, w in x), sum(map(len, triples))
+    c1[""] = c2["", ""] = sum(1 for x in triples if x)
+    want = Counter()
+    for i, x in zip(ids, triples):
+        want[i] += sum(np.log(c3[u, v, w] / c2[u, v]) if c3[u, v, w] >= least else np.log(0.4 * c2[v, w] / c1[v]) if c2[v, w] >= least
+                       else np.log(0.16 * c1[w] / total) for u, v, w in x)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = trigrams.scores(docs, least=least, common=common, hot=hot).collect()
+    assert len(got) == 60
+    for row in got:
+        assert np.isclose(row.score, want[row.doc_id])
+    assert trigrams.scores(frame(spark, [])).count() == 0
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies, ok.</div><div id=wrap><article><h1>Head &amp; line</h1><p>First, with <b>bold<br>words.<p>Second &eacute; para,
 graph.<div class="ad">Buy, now, please</div><form>Name <input></form><ul><li>one<li>two</ul></article><aside>Other, things</aside>
