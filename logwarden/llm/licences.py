@@ -1,9 +1,10 @@
-"""Licences of files: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest directory above.
+"""Licences of files: sparse TF-IDF cosine of windows of terms to templates, then inheritance from the nearest directory above.
 
-All in DataFrame operations. Lines that hold none of the marker words cannot resemble a template and are left out before
-anything is exploded; the rest of a file is still read whole. A line is compared with each template by the cosine of their
+All in DataFrame operations. Each file's terms, without comment signs and line breaks, are cut into windows of a template's
+length; its single lines count as windows too. Windows that hold too few of the template's terms for the least cosine (a bound, so none is
+lost) are left out before anything is exploded. A window is compared with each template by the cosine of their
 TF-IDF vectors (frequencies of terms in the templates; a term of no template weighs as one of a single template, and so
-only lengthens the line). The best line of a file gives its own licence. A *licence file* is one that is named like one, or
+only lengthens the window). The best window of a file gives its own licence. A *licence file* is one that is named like one, or
 one whose words all together resemble a template; it licenses its directory. A file without a licence of its own takes that of the
 nearest directory at or above its own that has one, found by joining its ancestors' paths.
 
@@ -14,6 +15,9 @@ give repeated results. Extra columns are ignored. Empty tables give empty result
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,19 @@ from logwarden.cluster import broadcast_if_small
 
 #: Licence and the usual wording of its notice.
 TEMPLATES = (
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership."),
+    ("EPL-2.0", "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -88,6 +105,37 @@ def similar(rows: DataFrame, keys: list[str], given: DataFrame, least: float) ->
     return best.select(*keys, F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("similarity"))
 
 
+def _masses(given: list) -> tuple[Column, Column]:
+    """Of the templates (few, see ``similar``): their terms, and an array of (terms, size, shares of the squared norm).
+
+    A text whose cosine to a template is at least ``least`` holds terms with at least ``least ** 2`` of its squared norm (Cauchy-Schwarz)."""
+    counts = [Counter(x.terms) for x in given if x.terms]
+    df = Counter(t for c in counts for t in c)
+    parts = []
+    for c in counts:
+        square = {t: (n * (math.log((1 + len(given)) / (1 + df[t])) + 1)) ** 2 for t, n in c.items()}
+        whole = sum(square.values())
+        shares = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(x / whole).alias("share")) for t, x in square.items()])
+        parts.append(F.struct(F.array(*map(F.lit, c)).alias("terms"), F.lit(sum(c.values())).alias("size"), shares.alias("shares")))
+    return F.array(*map(F.lit, df)), F.array(*parts)
+
+
+def _resembles(x: Column, held: Column, bound: float) -> Column:
+    return F.aggregate(x["shares"], F.lit(0.0), lambda s, p: s + F.when(F.array_contains(held, p["term"]), p["share"]).otherwise(0.0)) >= bound
+
+
+def _spans(text: Column, patterns: Column, bound: float) -> Column:
+    """Arrays of terms that may resemble a template: windows of its length, across line breaks, from each of its terms on; and single lines."""
+    def of(x: Column, t: Column, lines: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.array_contains(x["terms"], F.get(t, i - 1)))
+        return F.filter(F.concat(F.transform(starts, lambda i: F.slice(t, i, x["size"])), lines), lambda span: _resembles(x, span, bound))
+
+    # arrays of one element bind what would else be worked out anew for each template
+    both = F.array(F.struct(terms(text).alias("t"), F.transform(F.split(text, "\r?\n"), terms).alias("lines")))
+    return F.array_distinct(F.flatten(F.flatten(F.transform(both, lambda b: F.transform(
+        F.filter(patterns, lambda x: _resembles(x, b["t"], bound)), lambda x: of(x, b["t"], b["lines"]))))))
+
+
 def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", given: DataFrame | None = None, least: float = 0.75,
          least_file: float = 0.9) -> DataFrame:
     """Per file: id, path, ``licence`` (null if none), ``similarity``, ``origin`` (header, inherited or none) and ``from_dir``."""
@@ -96,11 +144,14 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     # rows with equal id, path and text are one file here, and each gets its result in the end
     unnamed = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in ("id", "path")]
     rows = rows.withColumn("file", F.sha2(F.concat_ws("\x00", *unnamed, "text"), 256))
+    known = given.select(terms(F.col("notice")).alias("terms")).collect()
+    vocabulary, patterns = _masses(known)
+    bound = min(least, least_file) ** 2 - 1e-6
+    held = F.array(F.array_intersect(terms(F.col("text")), vocabulary))
     marked = rows.withColumn("named", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))
-    marked = marked.filter(F.col("named") | F.lower("text").rlike(MARKERS))
-    lines = marked.select("file", F.posexplode(F.split("text", "\r?\n")).alias("line", "words")).filter(F.lower("words").rlike(MARKERS))
-    lines = lines.select("file", "line", terms(F.col("words")).alias("terms")).distinct()
-    own = similar(lines, ["file", "line"], given, least).groupBy("file").agg(
+    marked = marked.filter(F.exists(held, lambda h: F.exists(patterns, lambda x: _resembles(x, h, bound))))
+    spans = marked.select("file", "text").distinct().select("file", F.posexplode(_spans(F.col("text"), patterns, bound)).alias("span", "terms"))
+    own = similar(spans, ["file", "span"], given, least).groupBy("file").agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("own")).select("file", F.col("own.licence").alias("own"), (-F.col("own.s")).alias("own_similarity"))
     whole = marked.select("file", terms(F.col("text")).alias("terms")).distinct()
     whole = similar(whole, ["file"], given, least_file).select("file", F.col("licence").alias("of_whole"), F.col("similarity").alias("whole_similarity"))

@@ -230,6 +230,22 @@ def test_licences(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, path string, text string"), F.col("path")).count() == 0
 
 
+def test_wrapped_notices_and_full_texts(spark):
+    """Notices over several lines, in comments, inside one long line, and heads of full licence texts."""
+    bsd = "Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions\n// are met:\n"
+    gpl = ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+           "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n")
+    head = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0. If a copy of the MPL was not distributed */\n"
+    asf = ("/* Licensed to the Apache Software Foundation (ASF) under one\n * or more contributor license agreements.  See the NOTICE file\n"
+           " * distributed with this work for additional information\n * regarding copyright ownership. */\n")
+    long = f"{prose(40)} Licensed under the Apache License, Version 2.0. {prose(40)}"
+    texts = [f"{prose(30)}\n// {bsd}{prose(30)}", gpl + prose(30), head + prose(300), mpl + prose(9), asf + "int x;", long, prose(200)]
+    files = spark.createDataFrame([(i, f"d{i}/x.c", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(files, F.col("path")).collect()}
+    assert got == {0: "BSD-3-Clause", 1: "GPL-3.0", 2: "GPL-3.0", 3: "MPL-2.0", 4: "Apache-2.0", 5: "Apache-2.0", 6: None}
+
+
 def test_weighted_copies(spark):
     base = prose(200).split()
     near = [w if i != 100 else "zz" for i, w in enumerate(base)]
