@@ -21,7 +21,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.cluster import broadcast_if_small
+from logwarden.cluster import broadcast_if_small, written
 
 #: Licence and the usual wording of its notice.
 TEMPLATES = (
@@ -63,6 +63,7 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Words of notices, by which op9_licence_scan names a folder's licence file; ``scan`` does not use them.
 MARKERS = "licen[cs]|copyright|redistribut|hereby granted|public domain"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice|unlicense)([.-][a-z0-9.+-]*)?$"
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -105,19 +106,27 @@ def similar(rows: DataFrame, keys: list[str], given: DataFrame, least: float) ->
     return best.select(*keys, F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("similarity"))
 
 
-def _masses(given: list) -> tuple[Column, Column]:
-    """Of the templates (few, see ``similar``): their terms, and an array of (terms, size, shares of the squared norm).
+def _masses(given: list, bound: float) -> tuple[Column, Column, Column]:
+    """Of the templates (few, see ``similar``): their terms, those of which a text like any of them holds one at least, and an array of
+    (terms, size, shares of the squared norm).
 
     A text whose cosine to a template is at least ``least`` holds terms with at least ``least ** 2`` of its squared norm (Cauchy-Schwarz)."""
     counts = [Counter(x.terms) for x in given if x.terms]
     df = Counter(t for c in counts for t in c)
-    parts = []
+    parts, anchors = [], set()
     for c in counts:
         square = {t: (n * (math.log((1 + len(given)) / (1 + df[t])) + 1)) ** 2 for t, n in c.items()}
         whole = sum(square.values())
+        # the heaviest terms, until the others alone are too light
+        rest = whole
+        for t in sorted(square, key=lambda t: (-square[t], t)):
+            if rest < bound * whole:
+                break
+            anchors.add(t)
+            rest -= square[t]
         shares = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(x / whole).alias("share")) for t, x in square.items()])
         parts.append(F.struct(F.array(*map(F.lit, c)).alias("terms"), F.lit(sum(c.values())).alias("size"), shares.alias("shares")))
-    return F.array(*map(F.lit, df)), F.array(*parts)
+    return F.array(*map(F.lit, df)), F.array(*map(F.lit, sorted(anchors))), F.array(*parts)
 
 
 def _resembles(x: Column, held: Column, bound: float) -> Column:
@@ -145,11 +154,12 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     unnamed = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in ("id", "path")]
     rows = rows.withColumn("file", F.sha2(F.concat_ws("\x00", *unnamed, "text"), 256))
     known = given.select(terms(F.col("notice")).alias("terms")).collect()
-    vocabulary, patterns = _masses(known)
     bound = min(least, least_file) ** 2 - 1e-6
+    vocabulary, anchors, patterns = _masses(known, bound)
     held = F.array(F.array_intersect(terms(F.col("text")), vocabulary))
     marked = rows.withColumn("named", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))
-    marked = marked.filter(F.exists(held, lambda h: F.exists(patterns, lambda x: _resembles(x, h, bound))))
+    # the few files that may resemble a template at all, found once
+    marked = written(marked.filter(F.exists(held, lambda h: F.arrays_overlap(h, anchors) & F.exists(patterns, lambda x: _resembles(x, h, bound)))), "licence-files")
     spans = marked.select("file", "text").distinct().select("file", F.posexplode(_spans(F.col("text"), patterns, bound)).alias("span", "terms"))
     own = similar(spans, ["file", "span"], given, least).groupBy("file").agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("own")).select("file", F.col("own.licence").alias("own"), (-F.col("own.s")).alias("own_similarity"))

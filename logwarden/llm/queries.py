@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.cluster import work_path
+from logwarden.cluster import broadcast_if_small, work_path
 from logwarden.llm import articles, backoff, forest, leaks, licences, pieces, ranking, suffixes, trigrams, warc, weighted
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -108,9 +108,14 @@ def op8_page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document, taken as the file source/lang/doc-N.txt."""
-    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licences.scan(table(spark, sf_dir, "documents"), path)
+    """Licence of every document, taken as the file source/lang/doc-N.txt; the first one of a folder that holds a word of notices is its LICENSE."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", "source", "lang")
+    # one row a folder that has such a document
+    first = docs.filter(F.col("text").rlike(f"(?i){licences.MARKERS}")).groupBy(folder.alias("_folder")).agg(F.min("doc_id").alias("_first"))
+    named = docs.withColumn("_folder", folder).join(broadcast_if_small(first), "_folder", "left")
+    name = F.when(F.col("doc_id") == F.col("_first"), "LICENSE").otherwise(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scan(named, F.concat_ws("/", "source", "lang", name))
 
 
 def op10_weighted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

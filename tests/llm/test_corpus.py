@@ -246,6 +246,16 @@ def test_wrapped_notices_and_full_texts(spark):
     assert got == {0: "BSD-3-Clause", 1: "GPL-3.0", 2: "GPL-3.0", 3: "MPL-2.0", 4: "Apache-2.0", 5: "Apache-2.0", 6: None}
 
 
+def test_licence_query_inherits(spark, tmp_path):
+    texts = [(1, "s", "en", "plain"), (2, "s", "en", "Released under the MIT License."), (3, "s", "en", "Licensed under the Apache License, Version 2.0."),
+             (4, "s", "de", "plain"), (5, None, "en", None)]
+    spark.createDataFrame(texts, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_licence_scan(spark, str(tmp_path)).collect()}
+    assert (got[1].licence, got[1].origin, got[1].from_dir) == ("MIT", "inherited", "s/en")
+    assert got[2].path == "s/en/LICENSE" and got[3].path == "s/en/doc-3.txt" and (got[3].licence, got[3].origin) == ("Apache-2.0", "header")
+    assert len(got) == 5 and got[4].origin == got[5].origin == "none"
+
+
 def test_weighted_copies(spark):
     base = prose(200).split()
     near = [w if i != 100 else "zz" for i, w in enumerate(base)]
