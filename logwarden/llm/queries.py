@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.cluster import broadcast_if_small, work_path
-from logwarden.llm import articles, backoff, forest, leaks, licences, pieces, ranking, suffixes, trigrams, warc, weighted
+from logwarden.llm import articles, backoff, crosswalk, forest, importance, leaks, licences, pieces, ranking, suffixes, token_counts, trigrams, warc, weighted
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,9 +124,46 @@ def op10_weighted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op11_token_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers over every document."""
+    return crosswalk.aligned(table(spark, sf_dir, "documents"), BYTE_MODEL, PIECE_MODEL)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, long ones in overlapping chunks."""
+    return token_counts.counted(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by their likeness to the benchmark."""
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH crc_table AS (SELECT list(v ORDER BY i) AS crc FROM (
+  SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+  FROM range(256) AS r(i))),
+w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM documents),
+x AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+d AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM w UNION SELECT f FROM x)),
+k AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+        lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket FROM d, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN k USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM x JOIN k USING (f) GROUP BY bucket),
+z AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::BIGINT AS big_s, (SELECT coalesce(sum(t), 0) FROM t)::BIGINT AS big_t),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * (big_s + 10000))::DOUBLE / ((s + 1) * (big_t + 10000))::DOUBLE)) AS BIGINT) AS gain
+      FROM s LEFT JOIN t USING (bucket) CROSS JOIN z),
+m AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM w JOIN k USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+v AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+      FROM documents LEFT JOIN m USING (doc_id)),
+u AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM v),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM u WHERE n_features >= 20)
+SELECT u.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM u LEFT JOIN r ON u.doc_id = r.doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_salvage, op2_repeated_bytes, op3_nearest_vectors, op4_piece_codec, op5_benchmark_leaks,
-                         op6_quality_ranking, op7_backoff_scores, op8_page_articles, op9_licence_scan, op10_weighted_copies)}
+                         op6_quality_ranking, op7_backoff_scores, op8_page_articles, op9_licence_scan, op10_weighted_copies,
+                         op11_token_crosswalk, op12_token_counts, op13_importance_draw)}
 #: Second queries of an operator, beside the one that its SQL holds to a smaller job.
 MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_trigram_scores": op7_trigram_scores}
-SQL = {"op1_warc_salvage": OP1_SQL, "op7_backoff_scores": OP7_SQL, "op7_trigram_scores": OP7_TRIGRAM_SQL}
+SQL = {"op1_warc_salvage": OP1_SQL, "op7_backoff_scores": OP7_SQL, "op7_trigram_scores": OP7_TRIGRAM_SQL, "op13_importance_draw": OP13_SQL}
