@@ -36,6 +36,7 @@ from logwarden.llm.tokens import chunks
 CHUNK = 4 << 20
 TABLE_ROWS = 300_000
 TABLE_BYTES = 24 << 20
+LOT = 4096
 BLANK = "▁"
 
 
@@ -136,7 +137,8 @@ class Aligner:
 
     def align(self, fresh: list[str]) -> None:
         """Adds new segments to the table."""
-        a_lists = [x.ids for x in self.a.encode_batch_fast([" " + w for w in fresh], add_special_tokens=False)]
+        # in small lots, as the library returns far more than ids
+        a_lists = [x.ids for at in range(0, len(fresh), LOT) for x in self.a.encode_batch_fast([" " + w for w in fresh[at : at + LOT]], add_special_tokens=False)]
         b_lists = [x if w else [self.blank] for w, x in zip(fresh, self.b.encode(fresh, num_threads=1))]
         n_a, n_b = np.array([len(x) for x in a_lists]), np.array([len(x) for x in b_lists])
         a, b = (np.fromiter(chain.from_iterable(x), dtype=np.int64) for x in (a_lists, b_lists))
