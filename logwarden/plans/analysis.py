@@ -18,13 +18,15 @@ class Analysis:
 
     The address aggregate is shuffled once; with ``reuse`` it is written to the shared folder
     so detections and hostile addresses read it instead of the events. Look-ups for the at most
-    ``cap`` incidents filter the events by broadcast keys.
+    ``cap`` incidents filter the events by broadcast keys. Events without an hour go by their ``index``, the place of
+    the event: ``event_index`` of stored files, else ``ingest_seq``.
     """
 
     def __init__(self, events: DataFrame, files: DataFrame | None = None, label: str = "", run_label: str = "",
-                 cap: int = fv.MAX_INCIDENTS, index: str = "ingest_seq", strict: bool = True,
+                 cap: int = fv.MAX_INCIDENTS, index: str | None = None, strict: bool = True,
                  lead_assignee: str = "Unassigned", reuse: bool = False):
         self.events, self.files, self.label, self.run_label = events, files, label, run_label
+        index = index or ("event_index" if "event_index" in events.columns else "ingest_seq")
         self.cap, self.index, self.strict, self.lead_assignee, self.reuse = cap, index, strict, lead_assignee, reuse
 
     @cached_property

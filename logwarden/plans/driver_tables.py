@@ -148,6 +148,11 @@ FIELD_LINES = {
 }
 
 
+# Lines of log files: notes and blank lines, which are no events, and lines without a time between dated ones.
+UNDATED = {"log": "case when event_id % 7 = 1 then '# rotated' when event_id % 11 = 3 then '  ' "
+                  "when k % 4 = 0 then concat('login failed user=u', k, ' src=10.1.2.', k) else value end"}
+
+
 def field_sql(dialect: str) -> str:
     inner = "(select *, cast(json_extract_string(props, '$.k') as int) as k from events)" if dialect == "duckdb" else "raw_events"
     return f"select event_id as ingest_seq, k, {', '.join(field_projection(dialect))} from {inner}"

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from logwarden.plans import (
-    oracle_logs, oracle_models, oracle_stats, oracle_text, queries_logs, queries_models, queries_stats, queries_text,
+    oracle_files, oracle_logs, oracle_models, oracle_stats, oracle_text, queries_files, queries_logs, queries_models, queries_stats, queries_text,
 )
 
 _MODULES = (
     (queries_logs.QUERIES, oracle_logs.ORACLE),
+    (queries_files.QUERIES, oracle_files.ORACLE),
     (queries_text.QUERIES, oracle_text.ORACLE),
     (queries_stats.QUERIES, oracle_stats.ORACLE),
     (queries_models.QUERIES, oracle_models.ORACLE),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fv
-from logwarden.cluster import broadcast_if_small, pin, written
+from logwarden.cluster import BROADCAST_ROW_BOUND, broadcast_if_small, pin, written
 from logwarden.functions import text as tx
 from logwarden.schema import EVENT_COLUMNS, EVENT_SCHEMA
 
@@ -183,7 +183,10 @@ def line_formats(sniffed: DataFrame) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """Events of JSON Lines, CSV and plain log lines in one pass over ``lines``."""
+    """Events of JSON Lines, CSV and plain log lines in one pass over ``lines``.
+
+    ``kept_row`` numbers what a task keeps, without gaps: its splits one after another, each in line order.
+    """
     joined = lines.join(broadcast_if_small(formats), "file")
     trimmed = tx.strip(F.col("value"))
     fmt = F.col("format")
@@ -193,18 +196,19 @@ def parse_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
         .when(fmt == "jsonl", ~F.col("trimmed").startswith("//") & ~_is_json_value_but_no_record(F.col("trimmed")))
         .otherwise(~F.col("trimmed").startswith("#"))
     )
+    row_mask = (1 << _ROW_BITS) - 1
     split = kept.select(
-        "*", F.when(fmt == "csv", csv_cells(F.col("value"))).alias("cells"),
+        "*", F.monotonically_increasing_id().bitwiseAND(F.lit(row_mask)).alias("kept_row"), F.when(fmt == "csv", csv_cells(F.col("value"))).alias("cells"),
         F.when(fmt == "jsonl", _record_map(F.col("trimmed"))).alias("fields"))
     cell = lambda f: F.get(F.filter(
         F.transform(f"at_{f}", lambda i: F.try_element_at("cells", i)), lambda c: F.length(c) > 0), F.lit(0))
     compact = F.get(F.from_json(F.concat(F.lit("["), F.col("trimmed"), F.lit("]")), "array<string>"), F.lit(0))
     return normalize(split.select(
-        "file", "ingest_seq", ((fmt == "csv") | F.col("fields").isNotNull()).alias("is_record"),
+        "file", "ingest_seq", "kept_row", ((fmt == "csv") | F.col("fields").isNotNull()).alias("is_record"),
         F.when(fmt == "csv", F.col("value")).when(F.col("fields").isNotNull(), compact)
         .otherwise(F.col("trimmed")).alias("raw"),
         *[F.coalesce(cell(f), tx.pick(F.col("fields"), fv.FIELD_ALIASES[f])).alias(f"given_{f}") for f in _FIELDS],
-    ))
+    ), "kept_row")
 
 
 def document_records(documents: DataFrame) -> DataFrame:
@@ -230,14 +234,15 @@ def parse_documents(records: DataFrame) -> DataFrame:
     fields = F.from_json("raw", "map<string,string>", _JSON_OPTIONS)
     return normalize(
         each.withColumn("fields", fields).select(
-            "file", F.col("base").bitwiseOR(F.col("i").cast("bigint")).alias("ingest_seq"), F.lit(True).alias("is_record"), "raw",
-            *[tx.pick(F.col("fields"), fv.FIELD_ALIASES[f]).alias(f"given_{f}") for f in _FIELDS]))
+            "file", F.col("base").bitwiseOR(F.col("i").cast("bigint")).alias("ingest_seq"), F.col("i").cast("bigint").alias("kept_row"),
+            F.lit(True).alias("is_record"), "raw",
+            *[tx.pick(F.col("fields"), fv.FIELD_ALIASES[f]).alias(f"given_{f}") for f in _FIELDS]), "kept_row")
 
 
-def normalize(records: DataFrame) -> DataFrame:
+def normalize(records: DataFrame, *keep: str) -> DataFrame:
     """Records and text lines to events: given fields first, then extraction from the raw text.
 
-    Only source address, user, port and time of a record fall back to its text.
+    Only source address, user, port and time of a record fall back to its text. Columns named in ``keep`` go along.
     """
     raw, is_record = F.col("raw"), F.col("is_record")
     blank = F.lit("")
@@ -257,7 +262,7 @@ def normalize(records: DataFrame) -> DataFrame:
         F.coalesce(tx.normalize_action(F.col("given_action")), F.col("c.action")).alias("action"),
         F.coalesce(status, F.col("c.status")).alias("status"),
         F.when(F.col("given_port").isNotNull(), tx.clamp_port(F.col("given_port"))).otherwise(tx.extract_port(raw)).alias("port"),
-        "raw", "file",
+        "raw", "file", *keep,
     )
 
 
@@ -269,6 +274,34 @@ def text_events(lines: DataFrame) -> DataFrame:
     return normalize(trimmed.select("file", "ingest_seq", F.lit(False).alias("is_record"), "raw", *given))
 
 
+# ---- place of an event ------------------------------------------------------
+
+_BLOCK_BITS = 12  # slots a block
+
+
+def event_index(numbered: DataFrame, gap_free: bool = True) -> DataFrame:
+    """``event_index``: the 0-based place of every event over all files, in input order.
+
+    Two levels of prefix sums over small tables: events per split, cumulated inside blocks of 4,096 slots, and per block,
+    cumulated over blocks. The place inside a split is ``kept_row`` less the split's first, so no event is sorted. Where
+    kept rows have gaps, events are numbered split by split.
+    """
+    slot = F.shiftright("ingest_seq", _ROW_BITS)
+    block = F.shiftright("_slot", _BLOCK_BITS)
+    splits = numbered.groupBy(slot.alias("_slot")).agg(F.count("*").alias("_n"), F.min("kept_row").alias("_first")).withColumn("_block", block)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = splits.groupBy("_block").agg(F.sum("_n").alias("_block_n"))
+    over_blocks = before(Window.partitionBy(F.lit(0)).orderBy("_block"))  # a row for each 4 GiB of text
+    blocks = blocks.select("_block", F.coalesce(F.sum("_block_n").over(over_blocks), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_n").over(before(Window.partitionBy("_block").orderBy("_slot"))), F.lit(0))
+    places = splits.join(broadcast_if_small(blocks), "_block").select("_slot", "_first", (F.col("_base") + inside).alias("_place"))
+    joined = numbered.join(broadcast_if_small(places), slot == F.col("_slot"))
+    row = F.col("kept_row") - F.col("_first")
+    if not gap_free:
+        row = F.row_number().over(Window.partitionBy("_slot").orderBy("ingest_seq")) - 1
+    return joined.withColumn("event_index", (F.col("_place") + row).cast("bigint")).drop("_slot", "_first", "_place")
+
+
 # ---- whole ingest -----------------------------------------------------------
 
 
@@ -307,20 +340,25 @@ class Ingest:
                 .withColumn("format", F.coalesce("given_format", "format")).drop("given_format"))
         self.line_formats = written(self.line_formats, "formats")
         self.formats = self.line_formats.select("file", "format")
-        self.events = parse_lines(lines, self.line_formats).select(*EVENT_COLUMNS)
+        self.numbered = parse_lines(lines, self.line_formats).select(*EVENT_COLUMNS, "kept_row")
         if documents is not None:
             self.formats = self.formats.unionByName(parsed)
-            self.events = self.events.unionByName(parse_documents(documents).select(*EVENT_COLUMNS))
+            self.numbered = self.numbered.unionByName(parse_documents(documents).select(*EVENT_COLUMNS, "kept_row"))
+        self.events = self.numbered.select(*EVENT_COLUMNS)
 
     def stored(self, path: str | None = None) -> DataFrame:
-        """Events written once as Parquet (in the shared folder unless ``path`` is given) and read back.
+        """Events written once as Parquet (in the shared folder unless ``path`` is given) and read back, with ``event_index``.
 
         Analyses read the events several times; storing them spares parsing the text each time.
         """
         if path is None:
-            return written(self.events, "events")
-        self.events.write.parquet(path)
-        return self.events.sparkSession.read.parquet(path)
+            stored = written(self.numbered, "events")
+        else:
+            self.numbered.write.parquet(path)
+            stored = self.numbered.sparkSession.read.parquet(path)
+        # beyond the bound, formats are joined by a shuffle, and kept rows are no longer numbered split by split
+        gap_free = self.line_formats.limit(BROADCAST_ROW_BOUND + 1).count() <= BROADCAST_ROW_BOUND
+        return event_index(stored, gap_free).drop("kept_row")
 
     def summary(self, events: DataFrame | None = None) -> DataFrame:
         """Format and event count per file; a file without events counts 0, an unlisted format is log.

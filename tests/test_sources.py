@@ -116,3 +116,38 @@ def test_equal_base_names_in_dated_folders_are_all_kept(spark, tmp_path):
     ingest = Ingest(spark, [str(tmp_path / "dt=2026-03-01"), str(tmp_path / "dt=2026-03-02")])
     assert sorted(r.raw for r in ingest.events.collect()) == ["event of dt=2026-03-01", "event of dt=2026-03-02"]
     assert ingest.events.select("file").distinct().count() == 2
+
+
+@pytest.mark.parametrize("gap_free", [True, False])
+def test_event_index_counts_events_over_files_and_splits(spark, tmp_path, gap_free):
+    """Dropped lines do not count, small files share a task, and a large file is read in several splits."""
+    from logwarden.sources.logs import event_index
+
+    big = "".join(f"{'# note' if i % 5 == 2 else ''}user=u{i} login failed {'x' * 60}\n" for i in range(40_000))
+    files = {"a.log": "# only notes\n\n", "b.log": "one\n\n# two\nthree\n", "c.log": big, "d.json": json.dumps([{"user": "p"}, 7, {"user": "q"}]),
+             "e.csv": "time,user\n10:00,k\n\n11:00,l\n", "f.jsonl": '{"user": "m"}\n// no\n{"user": "n"}\n'}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1m")
+    try:
+        ingest = Ingest(spark, write(tmp_path, files))
+        got = event_index(ingest.numbered, gap_free).select("event_index", "ingest_seq", "file", "raw").orderBy("ingest_seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.event_index for r in got] == list(range(len(got)))
+    kept = [line for line in big.splitlines() if not line.startswith("#")]
+    assert [r.raw for r in got if r.file == "c.log"] == kept and len(got) == 2 + len(kept) + 2 + 2 + 2
+    assert len({r.ingest_seq >> 33 for r in got if r.file == "c.log"}) > 2
+
+
+def test_activity_of_files_goes_by_event_place(spark, tmp_path):
+    from logwarden.plans.analysis import Analysis
+
+    lines = ["# head", *["login failed" for _ in range(30)], "10:15 ok"]
+    ingest = Ingest(spark, write(tmp_path, {"a.log": "\n".join(lines[:10]), "b.log": "\n".join(lines[10:])}))
+    hours = {int(r.hour): r.events for r in Analysis(ingest.stored()).activity.collect()}
+    want = {h: 0 for h in range(24)}
+    for i in range(30):
+        want[i % 24] += 1
+    want[10] += 1
+    assert hours == want
