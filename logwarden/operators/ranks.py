@@ -1,6 +1,7 @@
 """Exact order statistics and running sums over any number of rows, without a global sort.
 
-Values are first counted (map-side combine keeps a value that fills a third of the rows to one
+Order statistics narrow brackets of values around the wanted ranks and order only what the last brackets hold. For
+running sums, values are first counted (map-side combine keeps a value that fills a third of the rows to one
 row per task), then spread over value ranges of a fixed number of buckets per group. Bucket
 totals are small and give each bucket its offset; ordering happens only inside a bucket.
 """
@@ -13,7 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logwarden.cluster import broadcast_if_small, written
+
 MAX_BUCKETS = 8192
+#: Brackets of one round of narrowing (a power of two), and rows that a bracket may hold when it is ordered.
+BRACKETS = 1024
+LAST_ROWS = 1 << 18
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -72,20 +78,86 @@ def running_sums(counts: DataFrame, value: str, sums: Sequence[str], groups: Seq
     return joined.select(*groups, value, *sums, *before, *[f"total_{c}" for c in sums])
 
 
+def _valued(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
+    """Group columns and the value as ``_v``, nulls and NaN left out."""
+    v = F.col(value)
+    return df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(*groups, v.alias("_v"))
+
+
+def _cells(rows: DataFrame, keys: Sequence[str], brackets: int) -> DataFrame:
+    """Per key and bracket of a sketch: exact number of rows, smallest and largest value, rows before it and of the key.
+
+    Two passes, each an aggregate that tasks combine before they send: sketches, then at most twice ``brackets`` counts a key.
+    """
+    probs = F.split(F.lit(" ".join(str(i / brackets) for i in range(1, brackets))), " ").cast("array<double>")
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx("_v", probs, max(1000, 4 * brackets)).alias("_bounds"))
+    found = (rows.join(broadcast_if_small(bounds), list(keys)) if keys else rows.crossJoin(F.broadcast(bounds))).withColumn("_at", F.lit(0))
+    step = brackets // 2
+    while step:
+        above = F.col("_v") > F.get("_bounds", F.col("_at") + (step - 1))
+        found = found.withColumn("_at", F.col("_at") + F.when(above, step).otherwise(0))
+        step //= 2
+    # a value that is itself a bound, as a frequent one must be, gets a bracket of its own
+    found = found.withColumn("_at", 2 * F.col("_at") + F.when(F.get("_bounds", F.col("_at")) == F.col("_v"), 1).otherwise(0))
+    counted = found.groupBy(*keys, "_at").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    earlier = whole.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select(*keys, "_lo", "_hi", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+
+
+def bracketed(df: DataFrame, value: str, ranks: dict[str, Column], groups: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, int]:
+    """For each wanted rank the bracket of values that holds it, narrowed until it has at most ``LAST_ROWS`` rows.
+
+    Returns the wanted ranks (group, ``_name``, ``_rank``, ``_total``, ``_lo``, ``_hi``, ``_before``: rows below ``_lo``),
+    one row a group and rank; the rows inside open brackets, where ``_lo`` < ``_hi``; and the number of rounds. Each round
+    counts rows per bracket and looks closer only at those that hold a rank, so a round divides them by ``BRACKETS``.
+    """
+    rows = _valued(df, value, groups)
+    names = F.array(*[F.struct(F.lit(n).alias("_name"), r.cast("bigint").alias("_rank")) for n, r in ranks.items()])
+    inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+    cells = _cells(rows, groups, BRACKETS)
+    kept = ["_name", "_rank", "_total", "_lo", "_hi", "_before", "_n"]
+    found = cells.withColumn("total_n", F.col("_total")).select("*", F.inline(names)).where(inside)
+    wanted = written(found.select(*groups, *kept), "brackets")
+    rounds, last = 1, None
+    while True:
+        brackets = wanted.where("_lo < _hi").select(*groups, "_lo", "_hi", "_before", "_n").distinct()
+        renamed = brackets.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_lo").alias("_low"), F.col("_hi").alias("_high"), F.col("_before").alias("_below"), "_n")
+        same = [F.col(g) == F.col(f"_g{i}") for i, g in enumerate(groups)]
+        narrow = reduce(lambda a, b: a & b, [*same, F.col("_v").between(F.col("_low"), F.col("_high"))])
+        largest = wanted.where("_lo < _hi").agg(F.max("_n")).first()[0]
+        if not largest or largest <= LAST_ROWS or largest == last:
+            return wanted, rows.join(broadcast_if_small(renamed), narrow).select(*groups, "_low", "_below", "_v"), rounds
+        last = largest
+        # the brackets are the groups of the next round; ranks stay counted from the group's smallest value
+        keys = [*groups, "_low", "_below"]
+        cells = _cells(rows.join(broadcast_if_small(renamed), narrow).select(*keys, "_v"), keys, BRACKETS)
+        cells = cells.select(*groups, F.col("_low").alias("_of"), F.col("_lo").alias("_new_lo"), F.col("_hi").alias("_new_hi"),
+                             (F.col("_before") + F.col("_below")).alias("_new_before"), F.col("_n").alias("_new_n"))
+        open_ranks = wanted.where("_lo < _hi").join(broadcast_if_small(cells), [*groups] or F.lit(True)).where(
+            (F.col("_lo") == F.col("_of")) & (F.col("_rank") >= F.col("_new_before")) & (F.col("_rank") < F.col("_new_before") + F.col("_new_n")))
+        closer = open_ranks.select(*groups, "_name", "_rank", "_total", F.col("_new_lo").alias("_lo"), F.col("_new_hi").alias("_hi"),
+                                   F.col("_new_before").alias("_before"), F.col("_new_n").alias("_n"))
+        wanted = written(wanted.where("_lo = _hi").unionByName(closer), "brackets")
+        rounds += 1
+
+
 def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column], groups: Sequence[str] = ()) -> DataFrame:
     """Values at 0-based ranks per group; a rank is a Column over ``total_n``, the group's rows.
 
-    Only buckets that hold a wanted rank are ordered.
+    Only the rows of the last brackets are counted by value and ordered: at most ``LAST_ROWS`` for each rank, however
+    many rows there are. A value that fills a bracket needs neither. Groups without a wanted rank give no row.
     """
-    parts = bucketed(value_counts(df, value, groups), value, groups)
-    offsets = _offsets(parts, groups, ["n"])
-    start, end = F.col("offset_n"), F.col("offset_n") + F.col("bucket_n")
-    wanted = reduce(lambda a, b: a | b, [(r >= start) & (r < end) for r in ranks.values()])
-    hit = parts.join(offsets.where(wanted), [*groups, "bucket"])
-    first = F.col("offset_n") + F.coalesce(F.sum("n").over(_inside(groups, value)), F.lit(0))
-    ranked = hit.withColumn("first", first)
-    at = lambda r: F.max(F.when((r >= F.col("first")) & (r < F.col("first") + F.col("n")), F.col(value)))
-    return ranked.groupBy(*groups).agg(*[at(r).alias(name) for name, r in ranks.items()], F.max("total_n").alias("total_n"))
+    wanted, rows, _ = bracketed(df, value, ranks, groups)
+    counts = rows.groupBy(*groups, "_low", "_below", "_v").agg(F.count("*").alias("_times"))
+    earlier = Window.partitionBy(*groups, "_low").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_first", F.col("_below") + F.coalesce(F.sum("_times").over(earlier), F.lit(0)))
+    placed = placed.select(*[F.col(g).alias(f"_p{i}") for i, g in enumerate(groups)], "_low", "_v", "_first", (F.col("_first") + F.col("_times")).alias("_end"))
+    same = [F.col(g) == F.col(f"_p{i}") for i, g in enumerate(groups)]
+    here = reduce(lambda a, b: a & b, [*same, F.col("_lo") < F.col("_hi"), F.col("_lo") == F.col("_low"), F.col("_rank") >= F.col("_first"), F.col("_rank") < F.col("_end")])
+    told = wanted.join(placed, here, "left").withColumn("_value", F.coalesce("_v", "_lo"))
+    at = lambda name: F.max(F.when(F.col("_name") == name, F.col("_value")))
+    return told.groupBy(*groups).agg(*[at(n).alias(n) for n in ranks], F.max("_total").alias("total_n"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], groups: Sequence[str] = ()) -> DataFrame:

@@ -131,3 +131,32 @@ def test_shift_counts_values_of_either_split(spark):
     df = spark.createDataFrame([("train", "a"), ("train", "b"), ("test", "c"), ("test", "a")], "split string, s string")
     got = {r.value: r.change_points for r in drift.categorical_shift(df, ["s"], "split", "train", "test").collect()}
     assert got == {"a": 0.0, "b": -50.0, "c": 50.0}
+
+
+@pytest.mark.parametrize("brackets,last", [(16, 40), (1024, 1 << 18)])
+def test_order_statistics_by_narrowing_brackets(spark, monkeypatch, brackets, last):
+    """Several rounds, a hot value, infinities and heavy tails; what is ordered does not grow with the rows."""
+    monkeypatch.setattr(ranks, "BRACKETS", brackets)
+    monkeypatch.setattr(ranks, "LAST_ROWS", last)
+    rng = np.random.default_rng(5)
+    for n in (300, 3000):
+        hot, tail = [7.25] * (n // 3), list(np.exp(40 * rng.normal(size=n)))
+        values = {"hot": hot + list(rng.normal(size=n)), "tail": tail + [float("inf"), float("-inf"), -0.0, 0.0], "one": [3.5], "whole": [float(v) for v in rng.integers(0, 5, n)]}
+        rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("one", None), ("one", float("nan")), ("none", None)]
+        df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+        wanted = {"low": F.lit(0), "third": F.floor(F.col("total_n") / 3), "top": F.col("total_n") - 1}
+        got = {r.g: r for r in ranks.order_statistics(df, "v", wanted, ["g"]).collect()}
+        assert set(got) == set(values)
+        for g, vs in values.items():
+            vs = sorted(vs)
+            assert (got[g].low, got[g].third, got[g].top, got[g].total_n) == (vs[0], vs[len(vs) // 3], vs[-1], len(vs))
+        _, ordered, rounds = ranks.bracketed(df, "v", wanted, ["g"])
+        assert ordered.count() <= last * len(wanted) * len(values) and (rounds > 1 or last > 1000 or n == 300)
+
+
+def test_order_statistics_of_whole_numbers_without_groups(spark):
+    values = [2**60 + 3 * i for i in range(1000)] + [-(2**60)] * 50
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    got = ranks.order_statistics(df, "v", {"a": F.lit(49), "b": F.lit(50), "c": F.lit(1049), "gone": F.lit(5000)}).first()
+    assert (got.a, got.b, got.c, got.gone, got.total_n) == (-(2**60), 2**60, 2**60 + 2997, None, 1050)
+    assert ranks.order_statistics(df.limit(0), "v", {"a": F.lit(0)}).first().a is None
