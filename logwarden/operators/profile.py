@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logwarden import fixed_values as fv
+from logwarden.cluster import written
 from logwarden.operators import ranks
 
 
@@ -38,38 +42,81 @@ def null_counts(df: DataFrame) -> DataFrame:
     return _long(wide, df.columns, ["nulls"])
 
 
-def duplicate_rows(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Rows beyond the first of each set of equal rows. Equal rows combine map-side."""
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
-    return copies.groupBy(*groups).agg(
-        F.sum("copies").alias("n_rows"), F.sum(F.col("copies") - 1).alias("duplicate_rows"))
+def type_family(kind: T.DataType) -> str:
+    """whole, real, text, time, flag or other."""
+    if isinstance(kind, T.IntegralType):
+        return "whole"
+    if isinstance(kind, T.NumericType):
+        return "real"
+    families = ((T.StringType, "text"), ((T.DateType, T.TimestampType, T.TimestampNTZType), "time"), (T.BooleanType, "flag"))
+    return next((name for types, name in families if isinstance(kind, types)), "other")
+
+
+def column_audit(df: DataFrame) -> DataFrame:
+    """Type and null cells of every column."""
+    kinds = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, type_family(f.dataType))])
+    return null_counts(df).select("feature", kinds[F.col("feature")].alias("kind"), "nulls")
+
+
+# ---- duplicate rows: fingerprints travel, rows only where a fingerprint repeats -------------------
+
+
+def _fingerprint(columns: Sequence[str], schema: T.StructType) -> Column:
+    """128 bits of a row. Nulls have a place of their own, and -0.0 is 0.0, as in grouping."""
+    def plain(c: str) -> Column:
+        real = isinstance(schema[c].dataType, (T.DoubleType, T.FloatType))
+        return F.col(f"`{c}`") + F.lit(0.0) if real else F.col(f"`{c}`")
+
+    nulls = F.concat(F.lit(""), *[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in columns])
+    values = [plain(c) for c in columns]
+    return F.struct(F.xxhash64(nulls, *values).alias("a"), F.xxhash64(F.lit("second"), *values[::-1], nulls).alias("b"))
+
+
+def _distinct_rows(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Number of different rows (per kept key).
+
+    Rows travel as 16 bytes. Those whose fingerprint occurs once are different from all others; the rest, as whole rows,
+    are compared by value, equal ones combined in the task that reads them.
+    """
+    marked = df.withColumn("_print", _fingerprint(columns, df.schema))
+    prints = marked.groupBy(*keep, "_print").agg(F.count("*").alias("_n"))
+    single = prints.where("_n = 1").groupBy(*keep).agg(F.count("*").alias("_different"))
+    again = prints.where("_n > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)], F.col("_print").alias("_again"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keep)]
+    repeated = marked.join(again, reduce(lambda x, y: x & y, same, F.col("_print") == F.col("_again")), "left_semi")
+    whole = repeated.groupBy(*keep, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)]).agg(F.lit(1).alias("_one"))
+    several = whole.groupBy(*keep).agg(F.count("*").alias("_different"))
+    return single.unionByName(several).groupBy(*keep).agg(F.sum("_different").alias("n_different"))
 
 
 def audit(df: DataFrame) -> DataFrame:
-    """Rows, columns, null cells and duplicate rows of a dataset."""
-    nulls = null_counts(df).agg(F.sum("nulls").alias("null_cells"))
-    return duplicate_rows(df).crossJoin(F.broadcast(nulls)).select(
-        "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "null_cells", "duplicate_rows")
+    """Rows, columns, null cells and duplicate rows (beyond the first of equal ones) of a dataset, over all its columns."""
+    cells = sum((F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
+    totals = df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(cells), F.lit(0)).alias("null_cells"))
+    different = _distinct_rows(df, df.columns).select(F.coalesce("n_different", F.lit(0)).alias("n_different"))
+    return totals.crossJoin(F.broadcast(different)).select(
+        "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "null_cells", (F.col("n_rows") - F.col("n_different")).alias("duplicate_rows"))
 
 
 def audit_by_file(df: DataFrame, file: str) -> DataFrame:
     """Rows, null cells and duplicate rows per file, and of all files together (file = null).
 
-    A row repeated in another file counts as a duplicate only in the combined line, so rows
-    are counted once per (file, row) and once more per row.
+    A row repeated in another file counts as a duplicate only in the combined line.
     """
     data = [c for c in df.columns if c != file]
     cells = sum((F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0) for c in data), F.lit(0))
-    per_file = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
-    combined = per_file.groupBy(*data).agg(F.sum("copies").alias("copies"))
+    named = df.withColumn("_file", F.col(file).cast("string")).drop(file)
+    per_file = named.groupBy("_file").agg(F.count("*").alias("n_rows"), F.sum(cells).alias("null_cells"))
+    different = _distinct_rows(named, data, ["_file"]).withColumnRenamed("_file", "_of")
+    each = per_file.join(different, F.col("_file").eqNullSafe(F.col("_of"))).drop("_of")
+    whole = per_file.agg(F.lit(None).cast("string").alias("_file"), F.sum("n_rows").alias("n_rows"), F.sum("null_cells").alias("null_cells"))
+    everything = whole.crossJoin(F.broadcast(_distinct_rows(named, data)))
+    return each.unionByName(everything).select(F.col("_file").alias(file), "n_rows", "null_cells", (F.col("n_rows") - F.col("n_different")).alias("duplicate_rows"))
 
-    def totals(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.withColumn("cells", cells).groupBy(*keys).agg(
-            F.sum("copies").alias("n_rows"), F.sum(F.col("cells") * F.col("copies")).alias("null_cells"),
-            F.sum(F.col("copies") - 1).alias("duplicate_rows"))
 
-    everything = totals(combined).select(F.lit(None).cast("string").alias(file), "n_rows", "null_cells", "duplicate_rows")
-    return totals(per_file, file).select(F.col(file).cast("string").alias(file), "n_rows", "null_cells", "duplicate_rows").unionByName(everything)
+def label_counts(df: DataFrame, labels: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Rows per value of each label column (per kept key); nulls are a value of their own."""
+    return unpivoted(df, labels, "string", keep).groupBy(*keep, "feature", "value").agg(F.count("*").alias("n"))
 
 
 def class_distribution(df: DataFrame, dataset: str, label: str, category: str) -> DataFrame:
@@ -143,6 +190,87 @@ def top_values(df: DataFrame, columns: Sequence[str], n: int = 15) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def heavy_hitters(df: DataFrame, columns: Sequence[str], n: int = 10, capacity: int = 2048) -> DataFrame:
+    """The ``n`` most frequent values of every column with exact counts; ties in value order, nulls left out.
+
+    Each task keeps a Misra-Gries summary of at most ``capacity`` values a column: where it overflows, the count of the
+    largest value that goes is taken off all others. Summed over tasks, these deductions bound what a summary can miss,
+    so only values that may still be among the first are counted, in one pass. A column where that proves nothing, as
+    all its values are about equally rare, is counted in full.
+    """
+    columns = list(columns)
+
+    def summarise(batches):
+        counts, lost = [pd.Series(dtype="int64") for _ in columns], [0] * len(columns)
+        for batch in batches:
+            for i in range(len(columns)):
+                found = batch.column(i).drop_null().value_counts()
+                fresh = pd.Series(found.field("counts").to_numpy(), index=found.field("values").to_pylist())
+                held = counts[i].add(fresh, fill_value=0).astype("int64") if len(counts[i]) else fresh
+                if len(held) > capacity:
+                    cut = int(held.nlargest(capacity + 1).iloc[-1])
+                    lost[i] += cut
+                    held = held[held > cut] - cut
+                counts[i] = held
+        for i, held in enumerate(counts):
+            values = [None, *held.index]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i] * len(values), pa.int32()), pa.array(values, pa.string()), pa.array([lost[i], *held], pa.int64())], names=["at", "value", "n"])
+
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    summed = written(texts.mapInArrow(summarise, "at int, value string, n bigint").groupBy("at", "value").agg(F.sum("n").alias("n")), "summaries")
+    least = Window.partitionBy("at").orderBy(F.desc("n"))
+    firm = summed.where("value is not null").withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= n)
+    firm = firm.groupBy("at").agg(F.min("n").alias("least"), F.count("*").alias("found"))
+    lost = summed.where("value is null").select("at", F.col("n").alias("lost"))
+    bounds = lost.join(firm, "at", "left").withColumn("least", F.when(F.col("found") < n, 0).otherwise(F.coalesce("least", F.lit(0))))
+    # what a summary has, and may have missed, against what the n-th value has at least; a row a column
+    open_values = summed.where("value is not null").join(F.broadcast(bounds), "at").where(F.col("n") + F.col("lost") >= F.col("least"))
+    per_column = {r.at: r for r in bounds.join(open_values.groupBy("at").agg(F.count("*").alias("open")), "at", "left").collect()}
+    exact = [i for i, r in per_column.items() if r.lost == 0]
+    unsure = [i for i, r in per_column.items() if r.lost and (r.least <= r.lost or r.open > 50 * capacity)]
+    close = [i for i in per_column if i not in exact and i not in unsure]
+    parts = [summed.where(F.col("at").isin(exact) & F.col("value").isNotNull()).select("at", "value", "n")] if exact else []
+    if close:
+        pairs = lambda chosen: F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"c{i}").alias("value")) for i in chosen])
+        asked = F.broadcast(open_values.where(F.col("at").isin(close)).select("at", "value"))  # at most 50 x capacity a column
+        parts.append(texts.select(F.inline(pairs(close))).join(asked, ["at", "value"], "left_semi").groupBy("at", "value").agg(F.count("*").alias("n")))
+    if unsure:
+        each = F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"c{i}").alias("value")) for i in unsure])
+        parts.append(texts.select(F.inline(each)).where("value is not null").groupBy("at", "value").agg(F.count("*").alias("n")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "feature string, value string, n bigint, rank int")
+    names = F.array(*[F.lit(c) for c in columns])
+    order = Window.partitionBy("at").orderBy(F.desc("n"), F.asc("value"))
+    counted = reduce(lambda x, y: x.unionByName(y), parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return counted.select(F.get(names, F.col("at")).alias("feature"), "value", "n", "rank")
+
+
+def inspection(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10) -> DataFrame:
+    """Type, rows, nulls, distinct values, least and greatest value, zeros, infinities and the ``n`` most frequent values of every column.
+
+    Numbers have ``min`` and ``max``, other columns ``first`` and ``last`` as text.
+    """
+    columns = list(columns or df.columns)
+    kinds = {c: type_family(df.schema[c].dataType) for c in columns}
+    aggs = []
+    for i, c in enumerate(columns):
+        v, number = F.col(f"`{c}`"), kinds[c] in ("whole", "real")
+        as_number = v.cast("double") if number else F.lit(None).cast("double")
+        as_text = F.lit(None).cast("string") if number else v.cast("string")
+        aggs += [F.count(v).alias(f"n__{i}"), F.count_if(v.isNull()).alias(f"nulls__{i}"), F.min(as_number).alias(f"min__{i}"), F.max(as_number).alias(f"max__{i}"),
+                 F.min(as_text).alias(f"first__{i}"), F.max(as_text).alias(f"last__{i}"), F.count_if(as_number == 0).alias(f"zeros__{i}"),
+                 F.count_if(F.abs(as_number) == float("inf")).alias(f"infinities__{i}")]
+    wide = _long(df.agg(*aggs), columns, ["n", "nulls", "min", "max", "first", "last", "zeros", "infinities"])
+    long = unpivoted(df, columns, "string").where("value is not null")
+    distinct = long.groupBy("feature", "value").agg(F.lit(1).alias("one")).groupBy("feature").agg(F.count("*").alias("distinct"))
+    top = heavy_hitters(df, columns, n).groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
+    kind = F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])])
+    return wide.join(F.broadcast(distinct), "feature", "left").join(F.broadcast(top), "feature", "left").select(
+        "feature", kind[F.col("feature")].alias("kind"), "n", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"), "min", "max", "first", "last", "zeros", "infinities",
+        F.transform("top", lambda t: F.struct(t["value"].alias("value"), t["n"].alias("n"))).alias("top"))
+
+
 def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None, n: int = 15) -> DataFrame:
     """Distinct values and the most frequent ones per categorical column."""
     columns = list(columns or categorical_columns(df))

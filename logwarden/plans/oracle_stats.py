@@ -70,17 +70,39 @@ _PROFILE = " union all ".join(f"""select '{c}' feature, count(distinct {c}) as "
 
 _HALF = "select *, l_returnflag rf from sl where split = 'train' and l_returnflag <> 'R'"
 
+_AUDITED = """li as (select * replace (case when l_tax > 0.02 then l_tax end as l_tax) from lineitem),
+  au as (select * from li union all select * from li where l_orderkey % 7 = 0
+    union all select * replace (case when l_linestatus = 'O' then 'F' else 'O' end as l_linestatus) from li where l_orderkey % 14 = 0)"""
+_EVENT_NAMES = ("ingest_seq", "ts", "time_label", "hour", "source_ip", "dest_ip", '"user"', "host", "action", "status", "port", "raw", "file")
+_EVENT_KINDS = {c: "whole" if c in ("ingest_seq", "hour", "port") else "text" for c in _EVENT_NAMES}
+_LINE_KINDS = {"l_orderkey": "whole", "l_partkey": "whole", "l_suppkey": "whole", "l_linenumber": "whole", "l_quantity": "real", "l_extendedprice": "real",
+               "l_discount": "real", "l_tax": "real", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time", "ratio": "real"}
+
+
+def _inspection(source: str, kinds: dict[str, str]) -> str:
+    def one(c: str, kind: str) -> str:
+        number = kind in ("whole", "real")
+        text = f"replace(cast({c} as varchar), 'inf', 'Infinity')" if kind == "real" else f"cast({c} as varchar)"
+        top = (f"(select string_agg(concat(v, '=', n), '|' order by n desc, v) from (select {text} v, count(*) n from src where {c} is not null "
+               "group by all order by n desc, v limit 10))")
+        numbers = (f"round(cast(min({c}) as double), 6) as min, round(cast(max({c}) as double), 6) as max, null::varchar as first, null::varchar as last, "
+                   f"count(*) filter ({c} = 0) zeros, count(*) filter (isinf(cast({c} as double))) infinities" if number else
+                   f"null::double as min, null::double as max, min(cast({c} as varchar)) as first, max(cast({c} as varchar)) as last, cast(0 as bigint) zeros, cast(0 as bigint) infinities")
+        return (f"select '{c.strip(chr(34))}' feature, '{kind}' kind, count({c}) n, count(*) - count({c}) nulls, count(distinct {c}) as \"distinct\", {numbers}, {top} as top from src")
+    return f"with src as (select * from {source}) " + " union all ".join(one(c, k) for c, k in kinds.items())
+
+
 ORACLE = {
-    "dataset_audit": """with t as (select l_suppkey, l_quantity, l_discount, case when l_tax > 0.02 then l_tax end l_tax from lineitem)
-      select count(*) n_rows, cast(4 as bigint) n_columns, count(*) filter (l_tax is null) null_cells,
-      count(*) - (select count(*) from (select distinct * from t)) duplicate_rows from t""",
+    "dataset_audit": f"""with {_AUDITED} select count(*) n_rows, (select count(*) from duckdb_columns() where table_name = 'lineitem') n_columns,
+      count(*) filter (l_tax is null) null_cells, count(*) - (select count(*) from (select distinct * from au)) duplicate_rows from au""",
     "dataset_nulls": f"""with ev as ({events_sql()}) """ + " union all ".join(
-        f"select '{c}' feature, count(*) - count({c}) nulls from ev" for c in (
-            "ingest_seq", "time_label", "hour", "source_ip", "dest_ip", "host", "action", "status", "port", "raw", "file")),
-    "audit_by_file": """with t as (select l_linestatus, l_quantity, l_discount, case when l_tax > 0.02 then l_tax end l_tax from lineitem)
-      select l_linestatus, count(*) n_rows, count(*) filter (l_tax is null) null_cells,
-        count(*) - (select count(*) from (select distinct * from t) u where u.l_linestatus = t.l_linestatus) duplicate_rows from t group by l_linestatus
-      union all select null, count(*), count(*) filter (l_tax is null), count(*) - (select count(*) from (select distinct l_quantity, l_discount, l_tax from t)) from t""",
+        f"""select '{c.strip('"')}' feature, case (select any_value(typeof({c})) from ev) when 'BIGINT' then 'whole' when 'INTEGER' then 'whole' when 'VARCHAR' then 'text'
+          else 'time' end as kind, count(*) - count({c}) nulls from ev""" for c in _EVENT_NAMES),
+    "audit_by_file": f"""with {_AUDITED} select l_linestatus, count(*) n_rows, count(*) filter (l_tax is null) null_cells,
+        count(*) - (select count(*) from (select distinct * from au) u where u.l_linestatus = au.l_linestatus) duplicate_rows from au group by l_linestatus
+      union all select null, count(*), count(*) filter (l_tax is null), count(*) - (select count(*) from (select distinct * exclude (l_linestatus) from au)) from au""",
+    "audit_labels": f"""with {_AUDITED} """ + " union all ".join(
+        f"select l_linestatus, '{c}' feature, cast({c} as varchar) as value, count(*) n from au group by all" for c in ("l_returnflag", "l_linenumber", "l_tax")),
     "class_distribution": """with t as (select l_linestatus dataset, case when l_returnflag <> 'N' then 1 else 0 end label, l_returnflag category from lineitem)
       select dataset, 'class' as level, cast(label as varchar) as value, count(*) n, round(count(*) * 100.0 / sum(count(*)) over (partition by dataset), 6) percent from t group by dataset, label
       union all select dataset, 'category', category, count(*), round(count(*) * 100.0 / sum(count(*)) over (partition by dataset), 6) from t group by dataset, category""",
@@ -93,9 +115,8 @@ ORACLE = {
     "skewness_screen": "select 'value' feature, round(skewness(value), 5) skew from events union all select 'heavy', round(skewness(pow(value, 4)), 5) from events",
     "skewed_features": """select * from (select 'value' feature, round(skewness(value), 5) skew from events
       union all select 'heavy', round(skewness(pow(value, 4)), 5) from events) where abs(skew) > 3""",
-    "feature_inspection": """select 'l_quantity' feature, count(*) n, cast(0 as bigint) nulls, min(l_quantity) as min, count(*) filter (l_quantity = 0) zeros, 0 infinities from lineitem
-      union all select 'ratio', count(*), 0, round(min(case when l_tax > 0 then 1 / l_tax end), 6), 0, count(*) filter (l_tax = 0) from lineitem
-      union all select 'fixed', count(*), 0, 1.0, 0, 0 from lineitem""",
+    "feature_inspection": _inspection("(select *, case when l_tax = 0 then 'infinity'::double else round(1 / l_tax, 3) end ratio from lineitem)", _LINE_KINDS),
+    "event_inspection": _inspection(f"(select * replace (strftime(ts, '%Y-%m-%d %H:%M:%S') as ts) from ({events_sql()}))", _EVENT_KINDS),
     "leakage_candidates": "select 'time_label' feature",
     "column_roles": """select column_name feature, case when column_name = 'l_returnflag' then 'label' when column_name = 'l_orderkey' then 'identifier'
       when data_type in ('VARCHAR', 'TIMESTAMP') then 'categorical' else 'numeric' end as role

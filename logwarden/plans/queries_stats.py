@@ -47,9 +47,20 @@ def _split_lineitem(spark, sf_dir) -> DataFrame:
     return _lineitem(spark, sf_dir).withColumn("split", F.when(features.in_fraction(key, 0.75), "train").otherwise("test"))
 
 
-def _audited_files(spark, sf_dir) -> DataFrame:
-    df = _lineitem(spark, sf_dir).select("l_linestatus", "l_quantity", "l_discount", F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("l_tax"))
-    return profile.audit_by_file(df, "l_linestatus")
+def _audited(spark, sf_dir) -> DataFrame:
+    """All columns of lineitem, with some null cells; every seventh order is there twice, and once more under the other status."""
+    df = _lineitem(spark, sf_dir).withColumn("l_tax", F.when(F.col("l_tax") > 0.02, F.col("l_tax")))
+    again = df.where("l_orderkey % 7 = 0")
+    other = again.where("l_orderkey % 2 = 0").withColumn("l_linestatus", F.when(F.col("l_linestatus") == "O", "F").otherwise("O"))
+    return df.unionByName(again).unionByName(other)
+
+
+def _inspected_events(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return rounded(profile.inspection(df).withColumn("top", F.array_join(F.transform("top", lambda t: F.concat_ws("=", t["value"], t["n"].cast("string"))), "|")))
 
 
 def _class_distribution(spark, sf_dir) -> DataFrame:
@@ -58,11 +69,6 @@ def _class_distribution(spark, sf_dir) -> DataFrame:
     return profile.class_distribution(df, "dataset", "label", "category")
 
 
-def _inspect(spark, sf_dir) -> DataFrame:
-    df = _lineitem(spark, sf_dir).withColumn("ratio", F.when(F.col("l_tax") == 0, F.lit(float("inf"))).otherwise(1 / F.col("l_tax"))).withColumn("fixed", F.lit(1.0))
-    return profile.moments(df, ["l_quantity", "ratio", "fixed"]).select("feature", "n", "nulls", "min", "zeros", "infinities")
-
-
 def _constant(spark, sf_dir) -> DataFrame:
     df = _lineitem(spark, sf_dir).withColumn("fixed", F.lit(3.0)).withColumn("absent", F.lit(None).cast("double"))
     return profile.constant_features(df.select("l_quantity", "fixed", "absent", "l_tax"))
@@ -227,16 +233,18 @@ def _defaults(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
-    "dataset_audit": lambda s, d: rounded(profile.audit(_lineitem(s, d).select("l_suppkey", "l_quantity", "l_discount", F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("l_tax")))),
-    "dataset_nulls": lambda s, d: profile.null_counts(events(s, d).drop("ts", "user")),
-    "audit_by_file": _audited_files,
+    "dataset_audit": lambda s, d: profile.audit(_audited(s, d)),
+    "dataset_nulls": lambda s, d: profile.column_audit(events(s, d)),
+    "audit_by_file": lambda s, d: profile.audit_by_file(_audited(s, d), "l_linestatus"),
+    "audit_labels": lambda s, d: profile.label_counts(_audited(s, d), ["l_returnflag", "l_linenumber", "l_tax"], ["l_linestatus"]),
     "class_distribution": lambda s, d: rounded(_class_distribution(s, d)),
     "numeric_profile": lambda s, d: rounded(profile.numeric_profile(_lineitem(s, d), LINE_NUMBERS).drop("infinities"), 4),
     "categorical_profile": lambda s, d: rounded(profile.categorical_profile(table(s, d, "part"), ["p_brand", "p_type", "p_name"])),
     "constant_features": _constant,
     "skewness_screen": lambda s, d: rounded(_skew(s, d), 5),
     "skewed_features": lambda s, d: rounded(profile.skewed_features(_skewed(s, d), ["value", "heavy"], 3.0), 5),
-    "feature_inspection": lambda s, d: rounded(_inspect(s, d)),
+    "feature_inspection": lambda s, d: _shown(_lineitem(s, d).withColumn("ratio", F.when(F.col("l_tax") == 0, F.lit(float("inf"))).otherwise(F.round(1 / F.col("l_tax"), 3)))),
+    "event_inspection": lambda s, d: _shown(_inspected_events(s, d)),
     "leakage_candidates": lambda s, d: profile.leakage_candidates(events(s, d)).select("feature"),
     "column_roles": lambda s, d: profile.column_roles(_lineitem(s, d), "l_returnflag", ["l_orderkey"]).select("feature", "role"),
     "table_head": lambda s, d: profile.head(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), 5, ["o_orderkey"]),

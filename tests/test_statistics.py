@@ -160,3 +160,37 @@ def test_order_statistics_of_whole_numbers_without_groups(spark):
     got = ranks.order_statistics(df, "v", {"a": F.lit(49), "b": F.lit(50), "c": F.lit(1049), "gone": F.lit(5000)}).first()
     assert (got.a, got.b, got.c, got.gone, got.total_n) == (-(2**60), 2**60, 2**60 + 2997, None, 1050)
     assert ranks.order_statistics(df.limit(0), "v", {"a": F.lit(0)}).first().a is None
+
+
+def test_heavy_hitters_equal_full_counts(spark):
+    """Skewed, nearly flat, unique, few and absent values, with summaries much smaller than the columns."""
+    from collections import Counter
+
+    rng = np.random.default_rng(2)
+    n = 6000
+    skewed = [f"s{int(v)}" for v in np.minimum(rng.zipf(1.6, n), 4000)]
+    flat, unique = [f"f{int(v)}" for v in rng.integers(0, 900, n)], [f"u{i}" for i in range(n)]
+    late = ["common" if i >= n - 1500 else f"x{i}" for i in range(n)]
+    rows = [(skewed[i], flat[i], unique[i], i % 4, None, late[i] if i % 3 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "skewed string, flat string, uniq string, few int, absent string, late string").repartition(6)
+    got = {}
+    for r in profile.heavy_hitters(df, df.columns, 5, capacity=40).collect():
+        got.setdefault(r.feature, []).append((r["rank"], r.value, r.n))
+    for i, c in enumerate(df.columns):
+        counts = Counter(str(r[i]) for r in rows if r[i] is not None)
+        want = sorted(counts.items(), key=lambda vn: (-vn[1], vn[0]))[:5]
+        assert sorted(got.get(c, [])) == [(k + 1, v, m) for k, (v, m) in enumerate(want)], c
+    assert profile.heavy_hitters(df.limit(0), df.columns).count() == 0
+
+
+def test_audit_tells_rows_apart_by_value(spark, monkeypatch):
+    """Swapped nulls are different rows, -0.0 and 0.0 the same, and equal fingerprints are settled by the rows."""
+    rows = [("f", None, "a", 0.0), ("f", "a", None, 0.0), ("f", "a", None, -0.0), ("g", "a", None, 0.0), ("g", "a", None, 0.0), (None, None, None, None), (None, None, None, None), ("g", "x", "y", float("nan"))]
+    df = spark.createDataFrame(rows, "file string, p string, q string, v double")
+    for weak in (False, True):
+        if weak:  # every row has the same fingerprint
+            monkeypatch.setattr(profile, "_fingerprint", lambda columns, schema: F.lit(1))
+        got = {r.file if r.n_rows < 8 else "all": (r.n_rows, r.null_cells, r.duplicate_rows) for r in profile.audit_by_file(df, "file").collect()}
+        assert got == {"f": (3, 3, 1), "g": (3, 2, 1), None: (2, 6, 1), "all": (8, 11, 4)}
+        assert tuple(profile.audit(df).first()) == (8, 4, 13, 3)
+    assert tuple(profile.audit(df.limit(0)).first()) == (0, 4, 0, 0)
