@@ -1,7 +1,8 @@
 """Isolation forest: trees grown on small hashed samples in parallel, scored by broadcast nodes.
 
 Each tree sees at most ``max_samples`` rows (256 unless asked otherwise), whatever the table
-size, so fitting shuffles about trees x samples rows. The forest is a node table of bounded
+size, so fitting shuffles about trees x samples rows. Trees over more than ``max_tree_rows`` rows, up to all
+of them, grow level by level (``levels``), and no task holds the rows of a tree. The forest is a node table of bounded
 size; scoring sends only the feature column to Python, in Arrow batches.
 """
 
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logwarden.cluster import written
+from logwarden.models import levels
 from logwarden.operators import ranks
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, `left` int, `right` int, path double"
@@ -72,7 +75,9 @@ class IsolationForest:
             raise ValueError("cannot fit a forest on an empty table")
         psi = min(n, self.max_samples) if isinstance(self.max_samples, int) else max(1, int(self.max_samples * n))
         if psi > self.max_tree_rows:
-            raise ValueError(f"a tree would sample {psi} rows, more than max_tree_rows={self.max_tree_rows}; use a smaller max_samples")
+            nodes = levels.grown(df, key, features, n, psi, width, self.n_trees, self.max_features, self.seed, self.max_tree_rows, average_path)
+            # Bounded by configuration: n_trees * (2 * psi - 1) node rows.
+            return self._calibrated(IsolationForestModel(levels.linked(nodes.toPandas()), psi, -0.5, width), df, features)
         assigned = self._assign(df.select(key.alias("k"), F.col(features).alias("x")), n, psi)
         limit, seed, share = math.ceil(math.log2(max(psi, 2))), self.seed, self.max_features
 
@@ -89,9 +94,12 @@ class IsolationForest:
 
         nodes = assigned.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
         # Bounded by configuration: n_trees * (2 * psi - 1) node rows.
-        model = IsolationForestModel(nodes.toPandas().sort_values(["tree", "node"]), psi, -0.5, width)
+        return self._calibrated(IsolationForestModel(nodes.toPandas().sort_values(["tree", "node"]), psi, -0.5, width), df, features)
+
+    def _calibrated(self, model: IsolationForestModel, df: DataFrame, features: str) -> IsolationForestModel:
         if self.contamination is not None:
-            scored = model.score_samples(df, features)
+            # written, as several passes look for the quantile
+            scored = written(model.score_samples(df, features).select("score_sample"), "forest-scores")
             model.offset = ranks.exact_quantiles(scored, "score_sample", {"q": self.contamination}).first().q
         return model
 

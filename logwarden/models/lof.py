@@ -1,8 +1,9 @@
-"""Local outlier factor for novelty: exact nearest neighbours by block pairs.
+"""Local outlier factor for novelty: exact nearest neighbours by cells around pivots.
 
-Query and training rows are hashed into blocks of bounded size. Every block pair is one task
-that keeps only the ``k`` nearest rows per query, so neither pairs nor whole tables are
-materialized. The work grows with queries x training rows, as exact neighbours require.
+Training rows go to the cell of their nearest pivot (a bounded sample of rows). A query looks into the cells around it and
+then only into those that may hold a nearer row. Cells and queries meet in blocks of bounded size that keep the ``k``
+nearest rows per query, so neither pairs nor whole tables are materialized. How much is ruled out depends on the data:
+much in clusters and few dimensions, little where all distances are alike.
 """
 
 from __future__ import annotations
@@ -21,44 +22,136 @@ from logwarden.operators import ranks
 _EPSILON = 1e-10
 
 
-def nearest(queries: DataFrame, train: DataFrame, k: int, same: bool = False, block_rows: int = 8192) -> DataFrame:
-    """id, neighbours: the ``k`` nearest training rows as array of (distance, id), nearest first.
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    out = np.empty((len(x), len(pivots)))
+    for at in range(0, len(x), 256):
+        out[at:at + 256] = np.sqrt(((x[at:at + 256, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+    return out
+
 
-    Both inputs have id (bigint) and x (array<double>); ``same`` leaves out a row's own id.
+@dataclass
+class Cells:
+    """Training rows by their nearest pivot. ``count`` and ``radius`` have a number a pivot."""
+
+    rows: DataFrame  # id, x, cell
+    pivots: np.ndarray
+    count: np.ndarray
+    radius: np.ndarray
+
+    @classmethod
+    def of(cls, train: DataFrame, max_pivots: int) -> Cells:
+        n = min(max_pivots, max(1, math.isqrt(train.count())))
+        sample = train.select("x").orderBy(F.xxhash64("id", F.lit(7))).limit(n).collect()  # at most max_pivots vectors
+        pivots = np.unique(np.array([r.x for r in sample], dtype=float), axis=0) if sample else np.zeros((1, 1))
+
+        def assign(batches):
+            for batch in batches:
+                d = _distances(np.vstack(batch["x"].to_numpy()), pivots)
+                cell = d.argmin(axis=1)
+                yield pd.DataFrame({"id": batch["id"], "x": batch["x"], "cell": cell, "d": d[np.arange(len(d)), cell]})
+
+        rows = written(train.select("id", "x").mapInPandas(assign, "id bigint, x array<double>, cell int, d double"), "lof-cells")
+        count, radius = np.zeros(len(pivots), dtype=np.int64), np.full(len(pivots), -np.inf)
+        for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect():  # a row a pivot
+            count[r.cell], radius[r.cell] = r.n, r.r
+        return cls(rows.drop("d"), pivots, count, radius)
+
+    def nearest_first(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least possible distance to each cell's rows, and which cells are searched first: the nearest that hold ``k`` rows together."""
+        d = _distances(x, self.pivots)
+        least = np.where(self.count > 0, np.maximum(d - self.radius, 0.0), np.inf)
+        order = np.lexsort((d, least))
+        before = np.cumsum(self.count[order], axis=1) - self.count[order]
+        first = np.zeros(d.shape, dtype=bool)
+        np.put_along_axis(first, order, (before < k) & (self.count[order] > 0), axis=1)
+        return least, first
+
+
+def _search(asked: DataFrame, cells: Cells, k: int, same: bool, block_rows: int) -> tuple[DataFrame, int]:
+    """Up to ``k`` nearest rows (at most ``bound`` away) of each asked (id, cell) and how many pairs were compared.
+
+    Cells and their queries are dealt in blocks of ``block_rows``, so one crowded cell is the work of many tasks.
     """
-    nq = max(1, math.ceil(queries.count() / block_rows))
-    nt = max(1, math.ceil(train.count() / block_rows))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "x", block(nq).alias("qb")).withColumn("tb", all_of(nt))
-    right = train.select("id", "x", block(nt).alias("tb")).withColumn("qb", all_of(nq))
+    wanted = np.zeros(len(cells.count), dtype=np.int64)
+    for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row a pivot
+        wanted[r.cell] = r.n
+    blocks = [(int(c), int(-(-cells.count[c] // block_rows)), int(-(-wanted[c] // block_rows))) for c in np.flatnonzero(wanted)]
+    spark = asked.sparkSession
+    dealt = F.broadcast(spark.createDataFrame(blocks, "cell int, n_train int, n_asked int"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(dealt, "cell").select("id", "x", "bound", "cell", part("n_asked").alias("qb"), every("n_train").alias("tb"))
+    right = cells.rows.join(dealt, "cell").select("id", "x", "cell", part("n_train").alias("tb"), every("n_asked").alias("qb"))
 
     def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "d": [], "n": []})
         if q.empty or t.empty:
-            return empty
-        a, b, ids = np.vstack(q["x"].to_numpy()), np.vstack(t["x"].to_numpy()), t["id"].to_numpy()
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "d": [], "n": []})
+        a, b, ids, own, bound = np.vstack(q["x"].to_numpy()), np.vstack(t["x"].to_numpy()), t["id"].to_numpy(), q["id"].to_numpy(), q["bound"].to_numpy()
         b2 = (b * b).sum(axis=1)
         out_d, out_n = [], []
         for start in range(0, len(a), 256):
-            part = a[start:start + 256]
-            near = b2 - 2.0 * part @ b.T
+            near = b2 - 2.0 * a[start:start + 256] @ b.T
             if same:
-                near[q["id"].to_numpy()[start:start + 256][:, None] == ids[None, :]] = np.inf
+                near[own[start:start + 256][:, None] == ids[None, :]] = np.inf
             top = min(k, near.shape[1])
             at = np.argpartition(near, top - 1, axis=1)[:, :top]
-            for row, cols in zip(part, at):
-                exact = np.sqrt(((b[cols] - row) ** 2).sum(axis=1))
-                out_d.append(exact.tolist())
-                out_n.append(ids[cols].tolist())
-        own = q["id"].to_numpy()
-        keep = [[(d, n) for d, n in zip(ds, ns) if not (same and n == i)] for ds, ns, i in zip(out_d, out_n, own)]
-        return pd.DataFrame({"id": own, "d": [[d for d, _ in r] for r in keep], "n": [[n for _, n in r] for r in keep]})
-
-    pairs = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(best, "id bigint, d array<double>, n array<bigint>")
+            for row, (x, found) in enumerate(zip(a[start:start + 256], at), start):
+                exact = np.sqrt(((b[found] - x) ** 2).sum(axis=1))
+                keep = (exact <= bound[row]) & ~(same & (ids[found] == own[row]))
+                out_d.append(exact[keep].tolist())
+                out_n.append(ids[found][keep].tolist())
+        return pd.DataFrame({"id": own, "d": out_d, "n": out_n})
+
+    pairs = left.groupBy("cell", "qb", "tb").cogroup(right.groupBy("cell", "qb", "tb")).applyInPandas(best, "id bigint, d array<double>, n array<bigint>")
+    return pairs, int((wanted * cells.count).sum())
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
     each = F.arrays_zip(F.col("d").alias("distance"), F.col("n").alias("neighbour"))
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list(each))), 1, k)  # k entries per training block
-    return pairs.groupBy("id").agg(merged.alias("neighbours"))
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(each))), 1, k).alias("neighbours"))
+
+
+def nearest_counted(queries: DataFrame, train: DataFrame, k: int, same: bool = False, block_rows: int = 8192, max_pivots: int = 1024) -> tuple[DataFrame, int]:
+    """``nearest``, and the number of pairs of rows that were compared."""
+    cells = Cells.of(train, max_pivots)
+    context = queries.sparkSession.sparkContext
+    shared = context.broadcast((cells.pivots, cells.count, cells.radius))  # at most max_pivots rows
+    needed = k + int(same)
+
+    def ring(widened: bool):
+        def ask(batches):
+            own = Cells(None, *shared.value)
+            for batch in batches:
+                least, first = own.nearest_first(np.vstack(batch["x"].to_numpy()), needed)
+                bound = batch["bound"].to_numpy()
+                # no row of a cell is nearer than its least distance; a little slack for rounding
+                chosen = ~first & (least <= bound[:, None] * (1 + 1e-9) + 1e-12) & (own.count > 0) if widened else first
+                row, cell = np.nonzero(chosen)
+                if len(row):
+                    yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "x": batch["x"].to_numpy()[row], "bound": bound[row], "cell": cell})
+        return ask
+
+    asked_as = "id bigint, x array<double>, bound double, cell int"
+    points = queries.select("id", "x")
+    first = written(points.withColumn("bound", F.lit(float("inf"))).mapInPandas(ring(False), asked_as), "lof-asked")
+    found, n_first = _search(first, cells, k, same, block_rows)
+    near = written(_merged(found, k), "lof-near")
+    reach = F.when(F.size("neighbours") >= k, F.element_at("neighbours", -1)["distance"]).otherwise(F.lit(float("inf")))
+    bounded = points.join(near.select("id", reach.alias("bound")), "id")
+    wider = written(bounded.mapInPandas(ring(True), asked_as), "lof-asked")
+    more, n_more = _search(wider, cells, k, same, block_rows)
+    held = near.select("id", F.col("neighbours.distance").alias("d"), F.col("neighbours.neighbour").alias("n"))
+    return _merged(held.unionByName(more), k), n_first + n_more
+
+
+def nearest(queries: DataFrame, train: DataFrame, k: int, same: bool = False, block_rows: int = 8192, max_pivots: int = 1024) -> DataFrame:
+    """id, neighbours: the ``k`` nearest training rows as array of (distance, id), nearest first.
+
+    Both inputs have id (bigint) and x (array<double>); ``same`` leaves out a row's own id. Each query first searches the
+    cells around it that hold ``k`` rows; their k-th distance then rules out, by the triangle inequality, all cells whose
+    rows must be farther, and only the others are searched. A query without any training row has no neighbours.
+    """
+    return nearest_counted(queries, train, k, same, block_rows, max_pivots)[0]
 
 
 def _flat(near: DataFrame) -> DataFrame:

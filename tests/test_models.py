@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logwarden.models import forest
+from logwarden.models import forest, levels
 from logwarden.models.iforest import IsolationForest, IsolationForestModel, average_path
-from logwarden.models.lof import LocalOutlierFactor, nearest
+from logwarden.models.lof import LocalOutlierFactor, nearest, nearest_counted
 from logwarden.models.ocsvm import OneClassSvm
 from logwarden.models.reasons import Baseline, general_number
 from logwarden.models.scoring import Detector
@@ -43,11 +43,51 @@ def test_forest_samples_large_tables_without_copying_rows(spark):
     made = IsolationForest(n_trees=10, max_samples=64)._assign(df.select(F.col("id").alias("k"), F.col("features").alias("x")), 40_000, 64)
     sizes = [r["count"] for r in made.groupBy("tree").count().collect()]
     assert len(sizes) == 10 and 40 < min(sizes) and max(sizes) < 160
-    with pytest.raises(ValueError, match="max_tree_rows"):
-        IsolationForest(max_samples=1.0, max_tree_rows=100).fit(df, F.col("id"))
     assert float(average_path(2)) == 1.0 and abs(float(average_path(256)) - 10.2448) < 1e-3
 
 
+def reference_tree(x, tree, columns, limit, seed):
+    """Plain recursive growth with the same draws."""
+    out = {}
+
+    def grow(rows, heap, depth):
+        part = rows[:, columns]
+        at, cut = levels.draw(seed, tree, np.array([heap]), part.min(axis=0)[None, :], part.max(axis=0)[None, :])
+        if len(rows) <= 1 or depth >= limit or at[0] < 0:
+            out[heap] = (-1, 0.0, depth + float(average_path(len(rows))))
+            return
+        right = part[:, at[0]] > cut[0]
+        out[heap] = (int(columns[at[0]]), float(cut[0]), 0.0)
+        grow(rows[~right], 2 * heap, depth + 1)
+        grow(rows[right], 2 * heap + 1, depth + 1)
+
+    grow(x, 1, 0)
+    return out
+
+
+@pytest.mark.parametrize("node_rows,share,samples", [(60, 1.0, 1.0), (5000, 0.7, 1.0), (20, 0.5, 0.5)])
+def test_full_sample_trees_equal_recursive_growth(spark, node_rows, share, samples):
+    """A third of the rows are one row; no group that finishes a node has more than its rows."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(400, 5)), np.tile(rng.normal(size=5), (200, 1))]).round(2)
+    x[:, 4] = 1.0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, features array<double>").repartition(5)
+    psi = int(samples * len(x))
+    nodes = levels.grown(df, F.col("id"), "features", len(x), psi, 5, 4, share, 42, node_rows, average_path).toPandas()
+    keys = np.array([r.k for r in df.select("id", F.xxhash64("id").alias("k")).orderBy("id").collect()])
+    for tree in range(4):
+        own = x[levels.members(42, tree, keys, psi / len(x))]
+        want = reference_tree(own, tree, levels.columns_of(tree, 5, share, 42), int(np.ceil(np.log2(psi))), 42)
+        got = {r.heap: (r.feature, r.threshold, r.path) for r in nodes[nodes.tree == tree].itertuples()}
+        assert got == want
+
+
+def test_full_sample_forest_finds_outliers(spark, planted):
+    fit = planted.where("y = 0")
+    model = IsolationForest(n_trees=15, max_samples=1.0, max_features=0.7, max_tree_rows=150).fit(fit, F.col("id"))
+    assert model.psi == 600 and area(model.decision(planted)) > 0.98
+
+
 def brute_lof(train, queries, k):
     def near(q, skip=None):
         d = np.sqrt(((train - q) ** 2).sum(axis=1))
@@ -126,3 +166,25 @@ def test_detector_round_trip(spark, tmp_path):
     made.save(spark, str(tmp_path / "d"))
     again = {r.id: (r.is_anomaly, r.risk_score) for r in Detector.load(spark, str(tmp_path / "d")).score(df, explain=False).collect()}
     assert again == {i: (r.is_anomaly, r.risk_score) for i, r in scored.items()}
+
+
+@pytest.mark.parametrize("same,block_rows,pivots", [(True, 64, 1024), (False, 8192, 5), (True, 8192, 1)])
+def test_neighbours_by_cells_equal_brute_force(spark, same, block_rows, pivots):
+    """Clusters, a far row, and one row there 150 times (ties go to the smaller id only in distance, so distances are compared)."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(loc=c, scale=0.3, size=(120, 3)) for c in (0, 4, 9)] + [np.tile([1.0, 1.0, 1.0], (150, 1)), [[50.0, 0, 0]]])
+    train = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>").repartition(4)
+    q = x if same else rng.normal(loc=3, scale=4, size=(60, 3))
+    queries = train if same else spark.createDataFrame([(1000 + i, [float(v) for v in r]) for i, r in enumerate(q)], "id bigint, x array<double>")
+    near, pairs = nearest_counted(queries, train, 6, same, block_rows, pivots)
+    got = {r.id: r.neighbours for r in near.collect()}
+    assert len(got) == len(q)
+    for i, row in enumerate(q):
+        d = np.sqrt(((x - row) ** 2).sum(axis=1))
+        if same:
+            d[i] = np.inf
+        mine = got[i if same else 1000 + i]
+        assert np.allclose([m.distance for m in mine], np.sort(d)[:6], atol=1e-9)
+        assert len({m.neighbour for m in mine}) == 6 and np.allclose([d[m.neighbour] for m in mine], [m.distance for m in mine], atol=1e-9)
+    assert pairs < 0.5 * len(q) * len(x) or pivots < 1024  # few pivots rule out little
+    assert nearest(queries, train.limit(0), 3).count() == 0
