@@ -154,6 +154,20 @@ ORACLE = {
       select l_orderkey, l_partkey, l_suppkey, cast(l_linenumber as bigint) l_linenumber, nf + ns + 4 width, cast(l_returnflag = rf1 as double) first_slot,
         round(case when l_returnflag in (select rf from f) then 1 else 0 end + case when l_linestatus in (select l_linestatus from f) then 1 else 0 end
           + (l_quantity - a1) / s1 + (l_extendedprice - a2) / s2 + (l_discount - a3) / s3 + (l_tax - a4) / s4, 4) total from lineitem cross join m""",
+    "sparse_one_hot": f"""with {_SPLIT_LINES},
+      s as (select * replace (case when l_linenumber <> 3 then l_returnflag end as l_returnflag, case when l_quantity <> 7 then l_tax end as l_tax) from sl),
+      f as (select * from s where split = 'train'), md as (select median(l_tax) med from f),
+      fm as (select l_returnflag top from f where l_returnflag is not null group by 1 order by count(*) desc, 1 limit 1),
+      mo as (select avg(coalesce(l_tax, med)) a1, stddev_pop(coalesce(l_tax, med)) s1, avg(l_quantity) a2, stddev_pop(l_quantity) s2 from f cross join md),
+      c as (select distinct 0 k, l_returnflag v from f where l_returnflag is not null union all select distinct 1, cast(l_partkey as varchar) from f
+        union all select distinct 2, cast(l_suppkey as varchar) from f),
+      q as (select k, v, row_number() over (order by k, v) - 1 slot from c), w as (select count(*) n from q)
+      select l_orderkey, cast(l_linenumber as bigint) l_linenumber, n + 2 width, 2 + hits entries, coalesce(a.slot, b.slot, d.slot, n) flag_slot,
+        cast(coalesce(a.slot, 0) + coalesce(b.slot, 0) + coalesce(d.slot, 0) + n + n + 1 as bigint) slot_sum,
+        round(hits + (coalesce(l_tax, med) - a1) / s1 + (l_quantity - a2) / s2, 4) total
+      from s cross join md cross join fm cross join mo cross join w left join q a on a.k = 0 and a.v = coalesce(l_returnflag, top)
+        left join q b on b.k = 1 and b.v = cast(l_partkey as varchar) left join q d on d.k = 2 and d.v = cast(l_suppkey as varchar),
+        lateral (select cast(a.slot is not null as bigint) + cast(b.slot is not null as bigint) + cast(d.slot is not null as bigint) hits) h""",
     "group_medians": f"with l as ({_LONG_LINES}) select l_returnflag, feature, round(median(value), 6) median from l group by all",
     "log_comparison": """select 'value' feature, round(skewness(value), 4) skew_before, round(skewness(ln(1 + value)), 4) skew_after from events
       union all select 'heavy', round(skewness(pow(value, 4)), 4), round(skewness(ln(1 + pow(value, 4))), 4) from events""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.operators import drift, evaluate, features, profile, ranks
+from logwarden.operators import drift, evaluate, features, profile, ranks, sparse
 from logwarden.plans.driver_tables import events, raw_events, table
 
 LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -157,6 +157,18 @@ def _encoded(spark, sf_dir) -> DataFrame:
                               F.get("features", F.lit(0)).alias("first_slot"), total.alias("total")), 4)
 
 
+def _sparse(spark, sf_dir) -> DataFrame:
+    """Parts, suppliers and flags of lineitem as sparse slots, fitted on one half; missing flags and taxes are filled."""
+    df = _split_lineitem(spark, sf_dir).withColumns({
+        "l_returnflag": F.when(F.col("l_linenumber") != 3, F.col("l_returnflag")), "l_tax": F.when(F.col("l_quantity") != 7, F.col("l_tax"))})
+    encoder = sparse.SparseEncoder(["l_returnflag", "l_partkey", "l_suppkey"], ["l_tax", "l_quantity"], impute=True).fit(df.where("split = 'train'"))
+    v = F.col("features")
+    total = F.aggregate(v["values"], F.lit(0.0), lambda a, x: a + x)
+    return rounded(encoder.transform(df).select(
+        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), v["size"].alias("width"), F.size(v["indices"]).cast("bigint").alias("entries"),
+        F.get(v["indices"], F.lit(0)).alias("flag_slot"), F.aggregate(v["indices"], F.lit(0).cast("bigint"), lambda a, x: a + x).alias("slot_sum"), total.alias("total")), 4)
+
+
 def _medians(spark, sf_dir) -> DataFrame:
     long = profile.unpivoted(_lineitem(spark, sf_dir), LINE_NUMBERS, keep=["l_returnflag"])
     return rounded(ranks.medians(long, "value", ["l_returnflag", "feature"]))
@@ -262,6 +274,7 @@ QUERIES = {
     "exact_sample": lambda s, d: features.sample_exactly(scored(s, d), F.col("event_id"), 3000).select("event_id"),
     "day_roles": lambda s, d: table(s, d, "events").select("event_id", features.day_role(F.concat(F.date_format("ts", "EEEE"), F.lit("-WorkingHours.csv"))).alias("role")),
     "one_hot_and_scale": _encoded,
+    "sparse_one_hot": _sparse,
     "group_medians": _medians,
     "log_comparison": lambda s, d: rounded(drift.transform_comparison(_skewed(s, d), ["value", "heavy"]), 4),
     "dense_index": _dense,

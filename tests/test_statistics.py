@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logwarden.operators import drift, evaluate, features, profile, ranks
+from logwarden.operators import drift, evaluate, features, profile, ranks, sparse
 from logwarden.schema import KDD_FEATURES, require_columns
 
 
@@ -194,3 +194,25 @@ def test_audit_tells_rows_apart_by_value(spark, monkeypatch):
         assert got == {"f": (3, 3, 1), "g": (3, 2, 1), None: (2, 6, 1), "all": (8, 11, 4)}
         assert tuple(profile.audit(df).first()) == (8, 4, 13, 3)
     assert tuple(profile.audit(df.limit(0)).first()) == (0, 4, 0, 0)
+
+
+def test_sparse_vectors_equal_dense_ones(spark):
+    """Unseen, missing and many categories; slots in value order over several partitions; scaled slots and scores."""
+    rows = [(i, None if i % 9 == 0 else f"c{i % 40:02d}", i % 3, float(i % 11) if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, a string, b int, x double").repartition(4)
+    fit = df.where("id < 200 and (a is null or a <> 'c07')")
+    dense = features.Encoder(["a", "b"], ["x"], impute=True).fit(fit)
+    made = sparse.SparseEncoder(["a", "b"], ["x"], impute=True).fit(fit)
+    want = {r.id: r.features for r in dense.transform(df).collect()}
+    got = {r.id: r.features for r in made.transform(df).collect()}
+    for i, v in got.items():
+        flat = [0.0] * v.size
+        for at, value in zip(v["indices"], v["values"]):
+            flat[at] = value
+        assert np.allclose(flat, want[i]) and list(v["indices"]) == sorted(v["indices"])
+    weights = spark.createDataFrame([(s, float(s)) for s in range(0, made.n_slots, 2)], "slot bigint, weight double")
+    scored = {r.id: r.score for r in sparse.scores(made.transform(df), ["id"], weights).collect()}
+    assert all(math.isclose(scored[i], sum(w * v for w, v in enumerate(want[i][: made.n_slots]) if w % 2 == 0), abs_tol=1e-9) for i in want)
+    spread = sparse.SparseEncoder(["b"], [], scale_slots=True).fit(df)
+    one = spread.transform(df).where("id = 0").first().features
+    assert np.isclose(one["values"][0], 1 / math.sqrt(1 / 3 * 2 / 3)) and one.size == 3
