@@ -29,6 +29,9 @@ _EVENTS = (f"ev as (select n.*, {_stamp('coalesce(r.given_timestamp, r.raw)')} a
 _LABEL = "case when file = 'a' then 'a-log' when file = 'b' then 'b-csv' else 'c-lines' end"
 
 ORACLE = {
+    "flow_files": """select l_orderkey flow, cast(l_linenumber as bigint) segment, case when l_quantity <= 45 then l_quantity end rate,
+      case when l_orderkey % 2 = 0 then round(l_tax, 6) end idle, case when l_returnflag = 'R' then 'DoS Hulk' else 'BENIGN' end label,
+      case when l_returnflag = 'R' then 1 else 0 end attack from lineitem""",
     "file_events": f"with {_EVENTS} select event_index, stamp, time_label, hour, source_ip, dest_ip, account, host, action, status, port from ev",
     "file_activity": f"""with {_EVENTS}, b as (select coalesce(hour, event_index % 24) as h, status from ev)
       select lpad(cast(r.h as varchar), 2, '0') as hour, count(status) as events, count(*) filter (status in ('failed', 'flagged', 'blocked')) alerts

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from logwarden.cluster import work_path
 from logwarden.operators import reports
 from logwarden.plans.analysis import Analysis
-from logwarden.plans.driver_tables import CSV_HEADER, FIELD_LINES, UNDATED, field_projection, line_projection, raw_events
+from logwarden.plans.driver_tables import CSV_HEADER, FIELD_LINES, UNDATED, field_projection, line_projection, raw_events, table
+from logwarden.sources import records
 from logwarden.sources.logs import Ingest
 
 PARTS = 4
@@ -66,4 +67,18 @@ def _limited(spark, sf_dir) -> DataFrame:
     return csv.agg(F.count("*").alias("n_events")).withColumn("n_over", F.lit(over).cast("bigint"))
 
 
-QUERIES = {"file_events": _events, "file_activity": _activity, "file_summary": _summary, "file_size_limit": _limited}
+def _flow_files(spark, sf_dir) -> DataFrame:
+    """Flows written as captures of two days whose headers differ in order and in one column, and read back in one call."""
+    base = work_path(spark, "captures")
+    flows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias(" Flow Id"), F.col("l_linenumber").alias(" Segment"), F.when(F.col("l_quantity") > 45, "Infinity").otherwise(F.col("l_quantity").cast("string")).alias("Flow Bytes/s"),
+        F.col("l_tax").alias(" Idle"), F.when(F.col("l_returnflag") == "R", "DoS Hulk").otherwise("BENIGN").alias(" Label"))
+    flows.where("` Flow Id` % 2 = 0").repartition(2).write.csv(f"{base}/Monday-WorkingHours", header=True, ignoreLeadingWhiteSpace=False)
+    shuffled = flows.where("` Flow Id` % 2 = 1").select(" Label", "Flow Bytes/s", " Segment", " Flow Id")
+    shuffled.write.csv(f"{base}/Friday-WorkingHours", header=True, ignoreLeadingWhiteSpace=False)
+    read = records.read_flows(spark, [f"{base}/Monday-WorkingHours", f"{base}/Friday-WorkingHours"])
+    return read.select(F.col("Flow Id").cast("bigint").alias("flow"), F.col("Segment").cast("bigint").alias("segment"), F.col("Flow Bytes/s").alias("rate"),
+                       F.round("Idle", 6).alias("idle"), F.col("Label").alias("label"), F.col("is_attack").cast("int").alias("attack"))
+
+
+QUERIES = {"flow_files": _flow_files, "file_events": _events, "file_activity": _activity, "file_summary": _summary, "file_size_limit": _limited}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,21 +41,34 @@ def _flow_names(header: str) -> list[str]:
     return names
 
 
+def flow_layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, header: the first line of every file, from the split that starts it. Empty files have none."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value"), F.monotonically_increasing_id().alias("row"))
+    return lines.where("block = 0").groupBy("path").agg(F.min_by("value", "row").alias("header"))
+
+
 def read_flows(spark: SparkSession, paths: str | list[str], label: str = "Label") -> DataFrame:
-    """Flow captures of one layout: trimmed names, numbers cleaned, ``file`` and ``role`` by capture day.
+    """Flow captures: trimmed names, numbers cleaned, ``file`` and ``role`` by capture day.
 
-    ``file`` comes from the scan's metadata, so filters on it skip whole files.
+    Each file is read by its own header: files of one layout share a typed read, and layouts are united by name; a column
+    that a layout lacks is null there. ``file`` comes from the scan's metadata, so filters on it skip whole files.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    first = spark.read.text(paths).limit(1).first()  # the header line alone
-    names = _flow_names(first[0] if first else "")
-    if label not in names:
-        raise ValueError(f"column {label!r} not found in {paths[0]}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.schema(schema).csv(paths, header=True, enforceSchema=True).select(
-        *[F.col(f"`{n}`") for n in names], F.col("_metadata.file_name").alias("file"))
-    cleaned = df.select(
-        *[F.col(f"`{n}`") if n == label else numeric_or_null(F.col(f"`{n}`")).alias(n) for n in names], "file")
+    layouts: dict[str, list[str]] = {}
+    for r in flow_layouts(spark, paths).orderBy("path").collect():  # a row a file, as the listing itself
+        layouts.setdefault(r.header, []).append(r.path)
+    if not layouts:
+        raise ValueError(f"column {label!r} not found: no lines in {paths}")
+    parts = []
+    for header, files in layouts.items():
+        names = _flow_names(header)
+        if label not in names:
+            raise ValueError(f"column {label!r} not found in {files[0]}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = spark.read.schema(schema).csv(files, header=True, enforceSchema=True).select(
+            *[F.col(f"`{n}`") for n in names], F.col("_metadata.file_name").alias("file"))
+        parts.append(df.select(*[F.col(f"`{n}`") if n == label else numeric_or_null(F.col(f"`{n}`")).alias(n) for n in names], "file"))
+    cleaned = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     return cleaned.withColumns({"role": day_role(F.col("file")), "is_attack": is_attack(F.col(label))})
 
 

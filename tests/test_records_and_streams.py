@@ -83,3 +83,17 @@ def test_brute_force_windows_and_late_rows(spark, tmp_path):
     assert {r.n_failed for r in late.collect()} == {12}
     with_ts, without = streams.timed(spark.read.parquet(str(folder)))
     assert with_ts.count() == 14 and without.count() == 0
+
+
+def test_flow_files_of_different_headers(spark, tmp_path):
+    from logwarden.sources.records import read_flows
+
+    (tmp_path / "Monday-WorkingHours.csv").write_text(" A, B, Label\n1,2,BENIGN\n3,Infinity,Bot\n")
+    (tmp_path / "Tuesday-WorkingHours.csv").write_text("Label,B, A ,C\nBot,5,6,7\n")
+    (tmp_path / "Friday-WorkingHours.csv").write_text(" A, B, Label\n")
+    (tmp_path / "Wednesday-WorkingHours.csv").write_text("")
+    got = {(r.A, r.B, r.C, r.Label, r.file[:3]) for r in read_flows(spark, str(tmp_path)).collect()}
+    assert got == {(1.0, 2.0, None, "BENIGN", "Mon"), (3.0, None, None, "Bot", "Mon"), (6.0, 5.0, 7.0, "Bot", "Tue")}
+    (tmp_path / "x.csv").write_text("A,B\n1,2\n")
+    with pytest.raises(ValueError, match="x.csv"):
+        read_flows(spark, str(tmp_path))
