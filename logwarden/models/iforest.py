@@ -104,17 +104,37 @@ class IsolationForest:
         return model
 
     def _assign(self, rows: DataFrame, n: int, psi: int) -> DataFrame:
-        """tree, h, x: the sampled rows of every tree, slightly more than ``psi`` each."""
+        """tree, h, x: the sampled rows of every tree, slightly more than ``psi`` each.
+
+        A round cuts the range of a row hash into as many stretches as the table has samples, one for each tree; further
+        trees take further rounds with another hash. So a tree's rows do not depend on how many trees there are.
+        """
         wanted = psi + 4.0 * math.sqrt(psi)
-        hashed = lambda *parts: F.pmod(F.xxhash64("k", *[F.lit(p) if isinstance(p, int) else p for p in parts]), F.lit(_HASH_RANGE))
-        if n > self.n_trees * wanted:
-            rate = self.n_trees * wanted / n
-            kept = rows.where(hashed(self.seed) < F.lit(int(rate * _HASH_RANGE)))
-            return kept.select(F.pmod(F.xxhash64("k", F.lit(self.seed + 1)), F.lit(self.n_trees)).cast("int").alias("tree"),
-                               F.xxhash64("k", F.lit(self.seed + 2)).alias("h"), "x")
-        bound = int(min(1.0, wanted / n) * _HASH_RANGE)
-        trees = F.filter(F.sequence(F.lit(0), F.lit(self.n_trees - 1)), lambda t: hashed(t, self.seed) < F.lit(bound))
-        return rows.select("k", "x", F.explode(trees).alias("tree")).select("tree", F.xxhash64("k", "tree").alias("h"), "x")
+        width = int(min(1.0, wanted / n) * _HASH_RANGE)
+        a_round = max(1, _HASH_RANGE // width)
+        rounds = F.sequence(F.lit(0), F.lit((self.n_trees - 1) // a_round))
+        stretch = lambda r: F.floor(F.pmod(F.xxhash64("k", r, F.lit(self.seed)), F.lit(_HASH_RANGE)) / width)
+        trees = F.transform(rounds, lambda r: F.when(stretch(r) < a_round, (r * a_round + stretch(r)).cast("int")))
+        chosen = rows.select("k", "x", F.explode(trees).alias("tree")).where(F.col("tree") < self.n_trees)
+        return chosen.select("tree", F.xxhash64("k", "tree").alias("h"), "x")
+
+
+def _prefix_scores(x: pd.Series, flat: tuple, scale: float, sizes: list[int]) -> list[np.ndarray]:
+    """Scores of the forests of the first ``sizes`` trees: path lengths are summed tree by tree."""
+    roots, feature, threshold, left, right, path, depth = flat
+    if not len(x):
+        return [np.zeros(0) for _ in sizes]
+    matrix = np.vstack(x.to_numpy())
+    rows = np.arange(len(matrix))
+    total, found = np.zeros(len(matrix)), {}
+    for count, root in enumerate(roots, 1):
+        at = np.full(len(matrix), root)
+        for _ in range(depth):
+            at = np.where(matrix[rows, feature[at]] <= threshold[at], left[at], right[at])
+        total += path[at]
+        if count in sizes:
+            found[count] = -(2.0 ** (-total / count / scale))
+    return [found[size] for size in sizes]
 
 
 @dataclass
@@ -142,18 +162,18 @@ class IsolationForestModel:
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            roots, feature, threshold, left, right, path, depth = shared.value
-            if not len(x):
-                return pd.Series([], dtype=float)
-            matrix = np.vstack(x.to_numpy())
-            rows = np.arange(len(matrix))
-            total = np.zeros(len(matrix))
-            for root in roots:
-                at = np.full(len(matrix), root)
-                for _ in range(depth):
-                    at = np.where(matrix[rows, feature[at]] <= threshold[at], left[at], right[at])
-                total += path[at]
-            return pd.Series(-(2.0 ** (-total / len(roots) / scale)))
+            return pd.Series(_prefix_scores(x, shared.value, scale, [len(shared.value[0])])[0])
+
+        return df.withColumn(output, score(F.col(features)))
+
+    def prefix_scores(self, df: DataFrame, sizes: list[int], features: str = "features", output: str = "score_samples") -> DataFrame:
+        """``output``: array of what ``score_samples`` of the forests of the first ``sizes`` trees give, from one walk through the largest."""
+        shared = df.sparkSession.sparkContext.broadcast(self._flat())
+        scale, sizes = float(average_path(self.psi)) or 1.0, list(sizes)
+
+        @F.pandas_udf("array<double>")
+        def score(x: pd.Series) -> pd.Series:
+            return pd.Series(list(np.stack(_prefix_scores(x, shared.value, scale, sizes), axis=1)))
 
         return df.withColumn(output, score(F.col(features)))
 

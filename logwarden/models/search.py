@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logwarden.cluster import written
 from logwarden.models.iforest import IsolationForest
-from logwarden.operators import evaluate
+from logwarden.operators import evaluate, ranks
 
 
 def judge(scored: DataFrame, threshold: float) -> DataFrame:
@@ -28,17 +29,33 @@ def grid_search(fit_rows: DataFrame, calibration: DataFrame, test: DataFrame, ke
     """Isolation forests over a grid; best F1, then recall, then average precision first.
 
     The prepared tables are written once; every combination fits on the same rows, takes its
-    threshold from the calibration scores and is judged on ``test`` (features, y).
+    threshold from the calibration scores and is judged on ``test`` (features, y). Combinations that differ
+    in ``n_trees`` alone are one fit: the first trees of the largest forest are the smaller one, and one walk
+    scores them all.
     """
     fit_rows, calibration, test = (written(df, "grid") for df in (fit_rows, calibration, test))
+    usual = IsolationForest()
+    sizes = sorted({int(n) for n in settings.get("n_trees", [usual.n_trees])})
+    each = F.posexplode("score_samples").alias("at", "score")
     rows = []
-    for combo in grid(settings):
-        model = IsolationForest(**combo).fit(fit_rows, key)
-        threshold = evaluate.fpr_thresholds(model.decision(calibration), fprs=(target_fpr,)).first().threshold
-        rows.append((str(combo), judge(model.decision(test), threshold).withColumn("threshold", F.lit(float(threshold)))))
-    out = rows[0][1].withColumn("settings", F.lit(rows[0][0]))
-    for name, df in rows[1:]:
-        out = out.unionByName(df.withColumn("settings", F.lit(name)))
+    for combo in grid({k: v for k, v in settings.items() if k != "n_trees"}):
+        forest = IsolationForest(**combo | {"n_trees": sizes[-1], "contamination": None})
+        model = forest.fit(fit_rows, key)
+        share = combo.get("contamination", usual.contamination)
+        # long tables: one row a row and forest
+        judged = written(model.prefix_scores(test, sizes).select("y", each), "grid-scores")
+        held = written(model.prefix_scores(calibration, sizes).select(each), "grid-scores")
+        offsets = dict.fromkeys(range(len(sizes)), -0.5)
+        if share is not None:
+            own = written(model.prefix_scores(fit_rows, sizes).select(each), "grid-scores")
+            offsets = {r.at: r.q for r in ranks.exact_quantiles(own, "score", {"q": share}, ["at"]).collect()}
+        cuts = {r.at: r.q for r in ranks.exact_quantiles(held, "score", {"q": target_fpr}, ["at"]).collect()}
+        for at, size in enumerate(sizes):
+            decision = judged.where(F.col("at") == at).select("y", (F.col("score") - F.lit(float(offsets[at]))).alias("score"))
+            threshold = float(cuts[at]) - float(offsets[at])
+            named = {k: size if k == "n_trees" else combo[k] for k in settings}
+            rows.append(judge(decision, threshold).withColumns({"threshold": F.lit(threshold), "settings": F.lit(str(named))}))
+    out = reduce(lambda x, y: x.unionByName(y), rows)
     return out.orderBy(F.desc("f1"), F.desc("recall"), F.desc("average_precision"), "settings")
 
 

@@ -1,8 +1,10 @@
+import ast
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logwarden.models import forest, levels
+from logwarden.models import forest, levels, search
 from logwarden.models.iforest import IsolationForest, IsolationForestModel, average_path
 from logwarden.models.lof import LocalOutlierFactor, nearest, nearest_counted
 from logwarden.models.ocsvm import OneClassSvm
@@ -188,3 +190,21 @@ def test_neighbours_by_cells_equal_brute_force(spark, same, block_rows, pivots):
         assert len({m.neighbour for m in mine}) == 6 and np.allclose([d[m.neighbour] for m in mine], [m.distance for m in mine], atol=1e-9)
     assert pairs < 0.5 * len(q) * len(x) or pivots < 1024  # few pivots rule out little
     assert nearest(queries, train.limit(0), 3).count() == 0
+
+
+def test_grid_of_forest_sizes_equals_single_fits(spark, planted):
+    fit, held = planted.where("y = 0 and id % 3 > 0"), planted.where("y = 0 and id % 3 = 0")
+    fits = []
+    plain = IsolationForest.fit
+    IsolationForest.fit = lambda self, *a, **k: fits.append(self.n_trees) or plain(self, *a, **k)
+    try:
+        found = search.grid_search(fit, held, planted, F.col("id"), {"n_trees": [5, 20, 9], "max_samples": [32, 64], "contamination": [0.02]}).collect()
+    finally:
+        IsolationForest.fit = plain
+    assert fits == [20, 20] and len(found) == 6
+    for r in found:
+        options = ast.literal_eval(r.settings)
+        model = IsolationForest(**options).fit(fit, F.col("id"))
+        threshold = evaluate.fpr_thresholds(model.decision(held), fprs=(0.05,)).first().threshold
+        want = search.judge(model.decision(planted), threshold).first()
+        assert abs(r.threshold - threshold) < 1e-9 and (r.tp, r.fp, r.fn) == (want.tp, want.fp, want.fn) and abs(r.roc_auc - want.roc_auc) < 1e-9
