@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from logwarden.cluster import written
 from logwarden.llm.tokens import chunks
 
-CHUNK = 4 << 20
-TABLE_ROWS = 300_000
+CHUNK = 2 << 20
+TABLE_ROWS = 150_000
 TABLE_BYTES = 24 << 20
-LOT = 4096
+LOT = 2048
 BLANK = "▁"
 
 
