@@ -149,12 +149,12 @@ def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column], groups
     many rows there are. A value that fills a bracket needs neither. Groups without a wanted rank give no row.
     """
     wanted, rows, _ = bracketed(df, value, ranks, groups)
-    counts = rows.groupBy(*groups, "_low", "_below", "_v").agg(F.count("*").alias("_times"))
-    earlier = Window.partitionBy(*groups, "_low").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.withColumnRenamed("_low", "_bucket").groupBy(*groups, "_bucket", "_below", "_v").agg(F.count("*").alias("_times"))
+    earlier = Window.partitionBy(*groups, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("_first", F.col("_below") + F.coalesce(F.sum("_times").over(earlier), F.lit(0)))
-    placed = placed.select(*[F.col(g).alias(f"_p{i}") for i, g in enumerate(groups)], "_low", "_v", "_first", (F.col("_first") + F.col("_times")).alias("_end"))
+    placed = placed.select(*[F.col(g).alias(f"_p{i}") for i, g in enumerate(groups)], "_bucket", "_v", "_first", (F.col("_first") + F.col("_times")).alias("_end"))
     same = [F.col(g) == F.col(f"_p{i}") for i, g in enumerate(groups)]
-    here = reduce(lambda a, b: a & b, [*same, F.col("_lo") < F.col("_hi"), F.col("_lo") == F.col("_low"), F.col("_rank") >= F.col("_first"), F.col("_rank") < F.col("_end")])
+    here = reduce(lambda a, b: a & b, [*same, F.col("_lo") < F.col("_hi"), F.col("_lo") == F.col("_bucket"), F.col("_rank") >= F.col("_first"), F.col("_rank") < F.col("_end")])
     told = wanted.join(placed, here, "left").withColumn("_value", F.coalesce("_v", "_lo"))
     at = lambda name: F.max(F.when(F.col("_name") == name, F.col("_value")))
     return told.groupBy(*groups).agg(*[at(n).alias(n) for n in ranks], F.max("_total").alias("total_n"))

@@ -43,7 +43,7 @@ def test_order_statistics_never_sort_all_rows_in_one_task(spark):
 
 def test_every_query_has_a_check_or_is_a_fitted_model():
     missing = set(queries()) - set(oracle_sql())
-    assert missing == {"isolation_forest_scores", "batch_scores", "lof_scores", "one_class_scores", "forest_sweep", "forest_importances",
+    assert missing == {"isolation_forest_scores", "full_sample_forest", "batch_scores", "lof_scores", "one_class_scores", "forest_sweep", "forest_importances",
                        "grid_search", "detector_operating_points", "stream_scores"}
 
 
