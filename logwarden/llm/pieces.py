@@ -19,9 +19,14 @@ import re
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from logwarden.llm.tokens import chunks
+
+LOT_BYTES = 1 << 20  # texts that are encoded before their rows leave the task
 BLANK = "▁"
 TABLE_ROWS = 250_000
 _RUNS = re.compile(f"({BLANK}*)([^{BLANK}]*)")
@@ -267,15 +272,27 @@ def read_model(path: str) -> bytes:
 
 
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, token ids (end id last) and decoded text of each row; a null text is empty. Other columns are left out."""
+    """Id, token ids (end id last) and decoded text of each row; a null text is empty. Other columns are left out.
+
+    A task holds the ids and spellings of one lot of texts (1 MB, or one longer text), as packed integers.
+    """
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches):
         pieces = loaded(model.value)
         for batch in batches:
-            ids = [[*pieces.encode(t), pieces.end] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([pieces.decode(x) for x in ids])],
-                                             names=["id", "ids", "decoded"])
+            sizes = [v or 0 for v in pc.binary_length(batch.column(1)).to_pylist()]
+            for lot in chunks(sizes, LOT_BYTES):
+                part = batch.slice(lot.start, lot.stop - lot.start)
+                ids, decoded, ends = [], [], [0]
+                for text in part.column(1):
+                    found = pieces.encode(text.as_py())
+                    found.append(pieces.end)
+                    decoded.append(pieces.decode(found))
+                    ids.append(np.array(found, dtype=np.int32))
+                    ends.append(ends[-1] + len(found))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)

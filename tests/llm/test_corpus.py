@@ -111,6 +111,17 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encoded_digests(frame(spark, []), path).count() == 0
 
 
+def test_piece_rows_leave_in_lots(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [*ODD, None, "", *(prose(20) for _ in range(30)), "wort " * 3000, "", None]
+    whole = pieces.encoded(frame(spark, texts), path).orderBy("doc_id").collect()
+    monkeypatch.setattr(pieces, "LOT_BYTES", 50)
+    assert pieces.encoded(frame(spark, texts), path).orderBy("doc_id").collect() == whole and len(whole) == len(texts)
+    other = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert all(r.ids == [*other.encode(t or ""), 2] for r, t in zip(whole, texts))
+    assert pieces.encoded(frame(spark, []), path).count() == 0
+
+
 def test_leaks_copied_edited_clean(spark):
     r = random.Random(9)
     item = prose(40, r).split()
