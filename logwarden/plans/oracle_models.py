@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from logwarden.plans import oracle_text
-from logwarden.plans.oracle_logs import _BASE
+from logwarden.plans.oracle_logs import _BASE, _DET, _FEAT, with_
 
 _DAY = "date_trunc('day', ts)"
 
 ORACLE = {
+    "stream_rules": with_(_BASE, _FEAT, _DET, body="select * from det where section = 0"),
+    "stream_late_rows": f"""with {_BASE}, m as (select source_ip, f, ingest_seq, cast(floor(epoch(cast(ts as timestamp)) / 60) as bigint) as mi,
+        ingest_seq >= 0.5 * ((select max(ingest_seq) from fl) + 1) as first_lot from fl where length(source_ip) > 0),
+      seen as (select source_ip, max(mi) newest from m where first_lot group by source_ip)
+      select source_ip, count(*) n_late, count(*) filter (f) n_failed, min(ingest_seq) first_seq, min(mi) first_minute
+      from m join seen using (source_ip) where not first_lot and mi < newest - 10 group by source_ip""",
     "reason_codes": """with r as (select event_id, value src_bytes, cast(json_extract_string(props, '$.k') as double) k, event_type flag, event_type in ('error', 'click') attack from events),
       b as (select avg(src_bytes) m1, stddev_samp(src_bytes) s1, avg(k) m2, stddev_samp(k) s2 from r where not attack),
       sh as (select flag, count(*) / (select count(*) from r where not attack) share from r where not attack group by flag),

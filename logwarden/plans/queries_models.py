@@ -12,9 +12,9 @@ from logwarden.models.lof import LocalOutlierFactor
 from logwarden.models.ocsvm import OneClassSvm
 from logwarden.models.reasons import Baseline
 from logwarden.models.scoring import Detector
-from logwarden.operators import evaluate, features
-from logwarden.plans.driver_tables import event_projection, line_projection, raw_events, table
-from logwarden.streaming import streams
+from logwarden.operators import detect, evaluate, features
+from logwarden.plans.driver_tables import event_projection, events, line_projection, raw_events, table
+from logwarden.streaming import escalation, streams
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -160,7 +160,34 @@ def _stream_scores(spark, sf_dir) -> DataFrame:
     return _run(spark, detector.score(arriving), "scored", "append").select("event_id", "is_anomaly", "risk_score", "risk_level")
 
 
+def _replayed(spark, sf_dir, cuts: list[tuple[float, float]]) -> DataFrame:
+    """States of addresses after the events arrived in lots, in the given order of shares of the event numbers."""
+    folder, landed, state = (work_path(spark, name) for name in ("replay", "escalation", "escalation-state"))
+    rows = events(spark, sf_dir)
+    last = rows.agg(F.max("ingest_seq")).first()[0] or 0
+    for k, (low, high) in enumerate(cuts):  # one start of the stream a lot: state and progress come back from the checkpoint
+        rows.where((F.col("ingest_seq") >= low * (last + 1)) & (F.col("ingest_seq") < high * (last + 1))).write.parquet(f"{folder}/lot-{k}")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{folder}/lot-*")
+        out = streams.run_available(escalation.address_states(arriving), landed, state, "update")
+    return out
+
+
+def _stream_rules(spark, sf_dir) -> DataFrame:
+    """Detections of the address rules after two lots; the second start takes up the state of the first."""
+    found = escalation.running(_replayed(spark, sf_dir, [(0, 0.5), (0.5, 1)]))
+    none = spark.createDataFrame([], "endpoint string, n_events bigint, n_confirmed bigint, first_seq bigint")
+    return detect.detections(found, none)
+
+
+def _stream_late(spark, sf_dir) -> DataFrame:
+    """Late rows of each address when the later half of the events arrives first."""
+    return escalation.late(_replayed(spark, sf_dir, [(0.5, 1), (0, 0.5)])).groupBy("source_ip").agg(
+        F.sum("n_events").alias("n_late"), F.sum("n_failed").alias("n_failed"), F.min("first_seq").alias("first_seq"), F.min("minute").alias("first_minute"))
+
+
 QUERIES = {
+    "stream_rules": _stream_rules,
+    "stream_late_rows": _stream_late,
     "reason_codes": _reasons,
     "full_sample_forest": _full_forest,
     "isolation_forest_scores": _forest_scores,
