@@ -224,11 +224,14 @@ def truncate(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit(ELLIPSIS))).otherwise(text)
 
 
-def sha256_short(text: Column) -> Column:
-    digest = F.sha2(text, 256)
+def shortened(digest: Column) -> Column:
     return F.concat(F.left(digest, F.lit(4)), F.lit(ELLIPSIS), F.right(digest, F.lit(4)))
 
 
+def sha256_short(text: Column) -> Column:
+    return shortened(F.sha2(text, 256))
+
+
 def normalize_question(text: Column) -> Column:
     kept = F.regexp_replace(F.lower(text), "[^a-z0-9 ]", "")
     return F.trim(F.regexp_replace(kept, " +", " "))

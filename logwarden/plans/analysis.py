@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -19,15 +20,17 @@ class Analysis:
     The address aggregate is shuffled once; with ``reuse`` it is written to the shared folder
     so detections and hostile addresses read it instead of the events. Look-ups for the at most
     ``cap`` incidents filter the events by broadcast keys. Events without an hour go by their ``index``, the place of
-    the event: ``event_index`` of stored files, else ``ingest_seq``.
+    the event: ``event_index`` of stored files, else ``ingest_seq``. ``files`` (name, hash, ordinal) may be a function of the
+    names of the contributing files, such as ``Ingest.evidence_of``, so that only these are hashed.
     """
 
-    def __init__(self, events: DataFrame, files: DataFrame | None = None, label: str = "", run_label: str = "",
+    def __init__(self, events: DataFrame, files: DataFrame | Callable[[DataFrame], DataFrame] | None = None, label: str = "", run_label: str = "",
                  cap: int = fv.MAX_INCIDENTS, index: str | None = None, strict: bool = True,
                  lead_assignee: str = "Unassigned", reuse: bool = False):
         self.events, self.files, self.label, self.run_label = events, files, label, run_label
         index = index or ("event_index" if "event_index" in events.columns else "ingest_seq")
         self.cap, self.index, self.strict, self.lead_assignee, self.reuse = cap, index, strict, lead_assignee, reuse
+        self._shown = None  # the files table, once asked for
 
     @cached_property
     def by_address(self) -> DataFrame:
@@ -60,7 +63,9 @@ class Analysis:
     def evidence(self) -> DataFrame:
         if self.files is None:
             raise ValueError("evidence needs a files table (name, hash, ordinal)")
-        return incidents.evidence(self.incidents, self.samples, self.files, self.run_label)
+        if self._shown is None:
+            self._shown = pin(self.files(self.samples.select("file").distinct())) if callable(self.files) else self.files
+        return incidents.evidence(self.incidents, self.samples, self._shown, self.run_label)
 
     @cached_property
     def cube(self) -> DataFrame:

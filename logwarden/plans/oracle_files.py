@@ -29,6 +29,8 @@ _EVENTS = (f"ev as (select n.*, {_stamp('coalesce(r.given_timestamp, r.raw)')} a
 _LABEL = "case when file = 'a' then 'a-log' when file = 'b' then 'b-csv' else 'c-lines' end"
 
 ORACLE = {
+    "file_digests": f"""select lot, cast(strlen(body) as bigint) n_bytes, sha256(body) as sha256 from (
+      select ingest_seq % 4 as lot, string_agg(value, chr(10) order by ingest_seq) || chr(10) as body from (select {', '.join(line_projection('duckdb'))} from {_RAW}) group by 1)""",
     "flow_files": """select l_orderkey flow, cast(l_linenumber as bigint) segment, case when l_quantity <= 45 then l_quantity end rate,
       case when l_orderkey % 2 = 0 then round(l_tax, 6) end idle, case when l_returnflag = 'R' then 'DoS Hulk' else 'BENIGN' end label,
       case when l_returnflag = 'R' then 1 else 0 end attack from lineitem""",

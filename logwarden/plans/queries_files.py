@@ -9,7 +9,7 @@ from logwarden.cluster import work_path
 from logwarden.operators import reports
 from logwarden.plans.analysis import Analysis
 from logwarden.plans.driver_tables import CSV_HEADER, FIELD_LINES, UNDATED, field_projection, line_projection, raw_events, table
-from logwarden.sources import records
+from logwarden.sources import digests, records
 from logwarden.sources.logs import Ingest
 
 PARTS = 4
@@ -81,4 +81,16 @@ def _flow_files(spark, sf_dir) -> DataFrame:
                        F.round("Idle", 6).alias("idle"), F.col("Label").alias("label"), F.col("is_attack").cast("int").alias("attack"))
 
 
-QUERIES = {"flow_files": _flow_files, "file_events": _events, "file_activity": _activity, "file_summary": _summary, "file_size_limit": _limited}
+def _digests(spark, sf_dir) -> DataFrame:
+    """SHA-256 of four files that hold all log lines, streamed in order of their lines."""
+    base = work_path(spark, "evidence-files")
+    lines = raw_events(spark, sf_dir).selectExpr("event_id % 4 as lot", *line_projection("spark"))
+    # one task a file, as a file has one order
+    lines.repartition("lot").sortWithinPartitions("lot", "ingest_seq").select("lot", "value").write.partitionBy("lot").text(base)
+    files = Ingest(spark, base).files
+    found = digests.file_digests(spark, [(r.path, r.length) for r in files.toLocalIterator()], whole_bytes=0)
+    lot = F.regexp_extract("path", r"/lot=(\d+)/", 1).cast("bigint").alias("lot")
+    return files.join(found, "path").select(lot, F.col("length").alias("n_bytes"), "sha256")
+
+
+QUERIES = {"file_digests": _digests, "flow_files": _flow_files, "file_events": _events, "file_activity": _activity, "file_summary": _summary, "file_size_limit": _limited}

@@ -19,6 +19,7 @@ from logwarden import fixed_values as fv
 from logwarden.cluster import BROADCAST_ROW_BOUND, broadcast_if_small, pin, written
 from logwarden.functions import text as tx
 from logwarden.schema import EVENT_COLUMNS, EVENT_SCHEMA
+from logwarden.sources import digests
 
 # ingest_seq = slot << 33 | row number within the reading task. A file owns one slot per started
 # MiB, and a file split starts at least one MiB after the last, so order follows (file, offset).
@@ -373,11 +374,24 @@ class Ingest:
                     F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"), "ordinal")
         )
 
-    def evidence_files(self, spark: SparkSession) -> DataFrame:
-        """name, hash, ordinal for evidence links: short SHA-256 of each file's bytes."""
-        hashed = spark.read.format("binaryFile").load(self.paths).select(
-            F.col("_metadata.file_path").alias("path"), tx.sha256_short(F.col("content")).alias("hash"))
-        return self.files.join(hashed, "path").select("name", "hash", F.col("ordinal").cast("bigint").alias("ordinal"))
+    def evidence_files(self, spark: SparkSession, names: DataFrame | None = None, whole_bytes: int = digests.WHOLE_BYTES) -> DataFrame:
+        """name, hash, ordinal for evidence links: short SHA-256 of each file's bytes, whatever its size.
+
+        With ``names`` (a column ``file``; bounded, as the samples of incidents are) only those files are read, and the first
+        one, which stands in where no file contributes.
+        """
+        shown = self.files
+        if names is not None:
+            wanted = names.select(F.col("file").alias("name")).distinct()
+            first = self.files.orderBy("ordinal").limit(1).select("name")
+            shown = shown.join(F.broadcast(wanted.union(first).distinct()), "name", "left_semi")
+        found = digests.file_digests(spark, [(r.path, r.length) for r in shown.select("path", "length").toLocalIterator()], whole_bytes)
+        short = found.select("path", tx.shortened(F.col("sha256")).alias("hash"))
+        return self.files.join(short, "path").select("name", "hash", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+    def evidence_of(self, names: DataFrame) -> DataFrame:
+        """``evidence_files`` of the files that are shown; given to ``Analysis`` as ``files``."""
+        return self.evidence_files(self.files.sparkSession, names)
 
 
 def parse_files(spark: SparkSession, paths: list[str] | str, **options) -> DataFrame:
