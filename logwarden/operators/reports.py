@@ -135,6 +135,11 @@ def asset_inventory(events: DataFrame, found: DataFrame, n: int = 8) -> DataFram
     )
 
 
+def asset_counts(assets: DataFrame) -> DataFrame:
+    """Listed assets, and those with open incidents."""
+    return assets.agg(F.count("*").alias("n_assets"), F.count_if(F.col("open_incidents") > 0).alias("n_with_open_incidents"))
+
+
 def user_profiles(events: DataFrame, n: int | None = 4) -> DataFrame:
     """Failed, successful and privileged activity per account, riskiest ``n`` (all when None)."""
     failed, success, priv = F.col("failed"), F.col("success") > 0, F.col("privileged")

@@ -254,6 +254,22 @@ def _norm(text: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower({text}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 
 
+_INVENTORY = """select name, case when regexp_matches(lower(name), 'db|database|sql') then 'Database'
+        when regexp_matches(lower(name), 'web|www|http|api') then 'Web / API'
+        when regexp_matches(lower(name), 'auth|idp|sso|gw|gateway') then 'Auth / Identity'
+        when regexp_matches(lower(name), 'fw|firewall|edge') then 'Firewall'
+        when regexp_matches(lower(name), 'pc|laptop|emp|desktop|endpoint') then 'Endpoint'
+        when regexp_matches(lower(name), 'srv|server|app|host') then 'Server' else 'Host' end as type,
+        case when risk >= 76 then 'Critical' when risk >= 51 then 'High' when risk >= 26 then 'Medium' else 'Low' end criticality,
+        risk, '—' owner, open_incidents
+      from (select name, seq, rnk, coalesce(open_incidents, 0) open_incidents,
+          cast(coalesce(inc_risk, greatest(8, least(60, 15 + 4 * coalesce(alerts, 0)))) as bigint) risk
+        from (select host as name, count(*) filter (alert) alerts, min(ingest_seq) seq from fl where length(host) > 0 group by 1)
+        full join (select asset as name, max(risk) inc_risk, count(*) open_incidents, min(rnk) rnk from inc2 group by 1) using (name))
+      order by risk desc, seq nulls last, rnk limit 8"""
+
+_NEXT_VALUES = ", ".join(f"({q(c)}, cast({1000 + i} as int))" for i, c in enumerate(fv.LIKELY_NEXT_TECHNIQUES))
+
 ORACLE = {
     "ip_features": with_(_BASE, _FEAT, body="select * from feat"),
     "malware_endpoints": with_(_BASE, _FEAT, body="select * from mal"),
@@ -321,19 +337,8 @@ ORACLE = {
     "threat_intel": with_(_BASE, _FEAT, _HOST, body="""select ip as value, 'IP' kind, case when alerts >= 10 then 'Malicious' else 'Suspicious' end reputation,
         cast(greatest(60, least(96, 55 + 2 * alerts)) as bigint) confidence, cnt related, '2026-08-26' first_seen, '2026-08-26' last_seen
         from hos order by alerts desc, first_alert_seq limit 4"""),
-    "asset_inventory": with_(*_TO_TOP, body="""select name, case when regexp_matches(lower(name), 'db|database|sql') then 'Database'
-        when regexp_matches(lower(name), 'web|www|http|api') then 'Web / API'
-        when regexp_matches(lower(name), 'auth|idp|sso|gw|gateway') then 'Auth / Identity'
-        when regexp_matches(lower(name), 'fw|firewall|edge') then 'Firewall'
-        when regexp_matches(lower(name), 'pc|laptop|emp|desktop|endpoint') then 'Endpoint'
-        when regexp_matches(lower(name), 'srv|server|app|host') then 'Server' else 'Host' end as type,
-        case when risk >= 76 then 'Critical' when risk >= 51 then 'High' when risk >= 26 then 'Medium' else 'Low' end criticality,
-        risk, '—' owner, open_incidents
-      from (select name, seq, rnk, coalesce(open_incidents, 0) open_incidents,
-          cast(coalesce(inc_risk, greatest(8, least(60, 15 + 4 * coalesce(alerts, 0)))) as bigint) risk
-        from (select host as name, count(*) filter (alert) alerts, min(ingest_seq) seq from fl where length(host) > 0 group by 1)
-        full join (select asset as name, max(risk) inc_risk, count(*) open_incidents, min(rnk) rnk from inc2 group by 1) using (name))
-      order by risk desc, seq nulls last, rnk limit 8"""),
+    "asset_inventory": with_(*_TO_TOP, body=_INVENTORY),
+    "asset_counts": with_(*_TO_TOP, body=f"select count(*) n_assets, count(*) filter (open_incidents > 0) n_with_open_incidents from ({_INVENTORY})"),
     "user_profiles": with_(_BASE, _USERS, body="""select u as account, '—' as role, risk, concat(n_events, ' events · ', failed, ' failed · ', privileged, ' privileged') as current,
         concat_ws(' | ', case when failed >= 5 then 'Repeated login failures' end, case when privileged > 0 then 'Privilege use' end,
           case when success > 0 and failed >= 5 then 'Login after brute force' end) flags from prof"""),
@@ -342,9 +347,9 @@ ORACLE = {
           case when success > 0 and failed >= 5 then 'Login after brute force' end) flags from usr1"""),
     "health_dimensions": with_(*_TO_TOP, _USERS, _HEALTH, body="select position, name, cast(value as bigint) as value from dim"),
     "health_score": with_(*_TO_TOP, _USERS, _HEALTH, body="select score from sco"),
-    "technique_progression": with_(*_TO_TOP, _TECH, body=f"""select code, coalesce(tactic, 'Technique') tactic, coalesce(technique, code) technique, observed, o.pos as position
-      from (select distinct code, true observed from mit union all
-            select code, false from (values ('T1098'), ('T1048')) n(code) where code not in (select code from mit)) t
+    "technique_progression": with_(*_TO_TOP, _TECH, body=f"""select code, coalesce(tactic, 'Technique') tactic, coalesce(technique, code) technique, observed, coalesce(next, o.pos) as position
+      from (select distinct code, true observed, null as next from mit union all
+            select code, false, place from (values {_NEXT_VALUES}) n(code, place) where code not in (select code from mit)) t
       left join cat using (code) left join (values {_ORDER_VALUES}) o(code, pos) using (code)"""),
     "report_summary": with_(*_TO_TOP, _CUBE, _USERS, _HEALTH, body="""select 'Uploaded logs' as "window", n_events total_events, n_alerts total_alerts, crit critical_incidents,
         cast(greatest(0, least(30, floor(n_flagged / n_alerts * 22 + 0.5))) as bigint) false_positive_rate,

@@ -135,13 +135,12 @@ QUERIES = {
     "hostile_ips": lambda s, d: reports.hostile_ips(detect.ip_features(events(s, d))).select("ip", "count", "alerts"),
     "threat_intel": _of("intel"),
     "asset_inventory": _of("assets", "name", "type", "criticality", "risk", "owner", "open_incidents"),
+    "asset_counts": lambda s, d: reports.asset_counts(analysis(s, d).assets),
     "user_profiles": _profiles(4),
     "user_profiles_all": _profiles(None),
     "health_dimensions": _of("health"),
     "health_score": _of("score"),
-    "technique_progression": lambda s, d: analysis(s, d).progression.select(
-        "code", "tactic", "technique", "observed",
-        F.when(F.col("observed"), F.col("position")).otherwise(F.when(F.col("code") == "T1098", 11).otherwise(10)).alias("position")),
+    "technique_progression": _of("progression", "code", "tactic", "technique", "observed", "position"),
     "report_summary": _of("summary"),
     "top_techniques": _of("top_techniques", "code", "name", "count"),
     "notifications": _of("notifications", "title", "detail", "severity", "time"),
