@@ -1,8 +1,8 @@
 """Local outlier factor for novelty: exact nearest neighbours by cells around pivots.
 
 Training rows go to the cell of their nearest pivot (a bounded sample of rows). A query looks into the cells around it and
-then only into those that may hold a nearer row. Cells and queries meet in blocks of bounded size that keep the ``k``
-nearest rows per query, so neither pairs nor whole tables are materialized. How much is ruled out depends on the data:
+then only into those that may hold a nearer row, taken together in lumps of neighbouring cells. Lumps and queries meet in
+blocks of bounded size that keep the ``k`` nearest rows per query, so neither pairs nor whole tables are materialized. How much is ruled out depends on the data:
 much in clusters and few dimensions, little where all distances are alike.
 """
 
@@ -24,11 +24,26 @@ _EPSILON = 1e-10
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     out = np.empty((len(x), len(pivots)))
-    for at in range(0, len(x), 256):
-        out[at:at + 256] = np.sqrt(((x[at:at + 256, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+    step = max(1, (1 << 20) // pivots.size)  # differences of 8 MB at a time
+    for at in range(0, len(x), step):
+        out[at:at + step] = np.sqrt(((x[at:at + step, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
     return out
 
 
+def _lumps(pivots: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """A lump a cell: neighbouring cells of up to ``most`` rows together, halved along the widest axis of their pivots."""
+    lump, n, stack = np.zeros(len(pivots), dtype=np.int32), 0, [np.arange(len(pivots))]
+    while stack:
+        cells = stack.pop()
+        if len(cells) > 1 and count[cells].sum() > most:
+            near = pivots[cells]
+            cells = cells[np.argsort(near[:, (near.max(axis=0) - near.min(axis=0)).argmax()], kind="stable")]
+            stack += [cells[:len(cells) // 2], cells[len(cells) // 2:]]
+        else:
+            lump[cells], n = n, n + 1
+    return lump
+
+
 @dataclass
 class Cells:
     """Training rows by their nearest pivot. ``count`` and ``radius`` have a number a pivot."""
@@ -67,43 +82,51 @@ class Cells:
         return least, first
 
 
-def _search(asked: DataFrame, cells: Cells, k: int, same: bool, block_rows: int) -> tuple[DataFrame, int]:
-    """Up to ``k`` nearest rows (at most ``bound`` away) of each asked (id, cell) and how many pairs were compared.
+def _search(asked: DataFrame, rows: DataFrame, count: np.ndarray, n_cells: int, k: int, same: bool, block_rows: int) -> tuple[DataFrame, int]:
+    """Up to ``k`` nearest rows (at most ``bound`` away) of each asked (id, lump), and how many pairs were compared.
 
-    Cells and their queries are dealt in blocks of ``block_rows``, so one crowded cell is the work of many tasks.
+    ``rows`` (id, x, cell, lump) has ``count`` rows a lump; rows in the cells of ``done`` are left out. Lumps and their
+    queries are dealt in blocks of ``block_rows``, so one crowded lump is the work of many tasks.
     """
-    wanted = np.zeros(len(cells.count), dtype=np.int64)
-    for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row a pivot
-        wanted[r.cell] = r.n
-    blocks = [(int(c), int(-(-cells.count[c] // block_rows)), int(-(-wanted[c] // block_rows))) for c in np.flatnonzero(wanted)]
+    wanted = np.zeros(len(count), dtype=np.int64)
+    for r in asked.groupBy("lump").agg(F.count("*").alias("n")).collect():  # a row a lump
+        wanted[r.lump] = r.n
+    blocks = [(int(c), int(-(-count[c] // block_rows)), int(-(-wanted[c] // block_rows))) for c in np.flatnonzero(wanted)]
     spark = asked.sparkSession
-    dealt = F.broadcast(spark.createDataFrame(blocks, "cell int, n_train int, n_asked int"))
+    dealt = F.broadcast(spark.createDataFrame(blocks, "lump int, n_train int, n_asked int"))
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(dealt, "cell").select("id", "x", "bound", "cell", part("n_asked").alias("qb"), every("n_train").alias("tb"))
-    right = cells.rows.join(dealt, "cell").select("id", "x", "cell", part("n_train").alias("tb"), every("n_asked").alias("qb"))
+    left = asked.join(dealt, "lump").select("id", "x", "bound", "done", "lump", part("n_asked").alias("qb"), every("n_train").alias("tb"))
+    right = rows.join(dealt, "lump").select("id", "x", "cell", "lump", part("n_train").alias("tb"), every("n_asked").alias("qb"))
 
     def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "d": [], "n": []})
         a, b, ids, own, bound = np.vstack(q["x"].to_numpy()), np.vstack(t["x"].to_numpy()), t["id"].to_numpy(), q["id"].to_numpy(), q["bound"].to_numpy()
+        cell, done = t["cell"].to_numpy(), q["done"].to_numpy()
         b2 = (b * b).sum(axis=1)
         out_d, out_n = [], []
         for start in range(0, len(a), 256):
-            near = b2 - 2.0 * a[start:start + 256] @ b.T
+            x, mine = a[start:start + 256], slice(start, start + 256)
+            near = b2 - 2.0 * x @ b.T
+            seen = np.zeros((len(x), n_cells), dtype=bool)
+            for row, cells in enumerate(done[mine]):
+                seen[row, np.asarray(cells, dtype=np.int64)] = True
+            out = seen[:, cell]
             if same:
-                near[own[start:start + 256][:, None] == ids[None, :]] = np.inf
+                out |= own[mine][:, None] == ids[None, :]
+            near[out] = np.inf
             top = min(k, near.shape[1])
             at = np.argpartition(near, top - 1, axis=1)[:, :top]
-            for row, (x, found) in enumerate(zip(a[start:start + 256], at), start):
-                exact = np.sqrt(((b[found] - x) ** 2).sum(axis=1))
-                keep = (exact <= bound[row]) & ~(same & (ids[found] == own[row]))
-                out_d.append(exact[keep].tolist())
-                out_n.append(ids[found][keep].tolist())
+            exact = np.sqrt(((b[at] - x[:, None, :]) ** 2).sum(axis=2))
+            keep = (exact <= bound[mine][:, None]) & ~np.take_along_axis(out, at, axis=1)
+            for d, n, kept in zip(exact, ids[at], keep):
+                out_d.append(d[kept].tolist())
+                out_n.append(n[kept].tolist())
         return pd.DataFrame({"id": own, "d": out_d, "n": out_n})
 
-    pairs = left.groupBy("cell", "qb", "tb").cogroup(right.groupBy("cell", "qb", "tb")).applyInPandas(best, "id bigint, d array<double>, n array<bigint>")
-    return pairs, int((wanted * cells.count).sum())
+    pairs = left.groupBy("lump", "qb", "tb").cogroup(right.groupBy("lump", "qb", "tb")).applyInPandas(best, "id bigint, d array<double>, n array<bigint>")
+    return pairs, int((wanted * count).sum())
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
@@ -114,34 +137,51 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
 def nearest_counted(queries: DataFrame, train: DataFrame, k: int, same: bool = False, block_rows: int = 8192, max_pivots: int = 1024) -> tuple[DataFrame, int]:
     """``nearest``, and the number of pairs of rows that were compared."""
     cells = Cells.of(train, max_pivots)
-    context = queries.sparkSession.sparkContext
-    shared = context.broadcast((cells.pivots, cells.count, cells.radius))  # at most max_pivots rows
+    n_cells = len(cells.count)
+    lump = _lumps(cells.pivots, cells.count, min(block_rows, max(1, int(cells.count.sum()) // 32)))
+    in_lump = np.bincount(lump, weights=cells.count).astype(np.int64)
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast((cells.pivots, cells.count, cells.radius, lump))  # at most max_pivots rows
     needed = k + int(same)
 
     def ring(widened: bool):
         def ask(batches):
-            own = Cells(None, *shared.value)
+            pivots, count, radius, lump = shared.value
+            own = Cells(None, pivots, count, radius)
+            step = max(1, (1 << 14) // (len(in_lump) if widened else needed))  # few rows at a time, as each is asked often
             for batch in batches:
-                least, first = own.nearest_first(np.vstack(batch["x"].to_numpy()), needed)
-                bound = batch["bound"].to_numpy()
-                # no row of a cell is nearer than its least distance; a little slack for rounding
-                chosen = ~first & (least <= bound[:, None] * (1 + 1e-9) + 1e-12) & (own.count > 0) if widened else first
-                row, cell = np.nonzero(chosen)
-                if len(row):
-                    yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "x": batch["x"].to_numpy()[row], "bound": bound[row], "cell": cell})
+                for start in range(0, len(batch), step):
+                    some = batch.iloc[start:start + step]
+                    ids, x, bound = (some[c].to_numpy() for c in ("id", "x", "bound"))
+                    least, first = own.nearest_first(np.vstack(x), needed)
+                    done = np.empty(len(some), dtype=object)
+                    done[:] = [np.flatnonzero(f).astype(np.int32) if widened else np.zeros(0, dtype=np.int32) for f in first]
+                    if widened:
+                        # no row of a cell is nearer than its least distance; a little slack for rounding
+                        chosen = ~first & (least <= bound[:, None] * (1 + 1e-9) + 1e-12) & (count > 0)
+                        at, cell = np.nonzero(chosen)
+                        asked = np.zeros((len(some), len(in_lump)), dtype=bool)
+                        asked[at, lump[cell]] = True
+                        row, where = np.nonzero(asked)
+                    else:
+                        row, where = np.nonzero(first)
+                    if len(row):
+                        yield pd.DataFrame({"id": ids[row], "x": x[row], "bound": bound[row], "done": done[row], "lump": where.astype(np.int32)})
         return ask
 
-    asked_as = "id bigint, x array<double>, bound double, cell int"
+    asked_as = "id bigint, x array<double>, bound double, done array<int>, lump int"
     points = queries.select("id", "x")
     first = written(points.withColumn("bound", F.lit(float("inf"))).mapInPandas(ring(False), asked_as), "lof-asked")
-    found, n_first = _search(first, cells, k, same, block_rows)
+    found, n_first = _search(first, cells.rows.withColumn("lump", F.col("cell")), cells.count, n_cells, k, same, block_rows)
     near = written(_merged(found, k), "lof-near")
     reach = F.when(F.size("neighbours") >= k, F.element_at("neighbours", -1)["distance"]).otherwise(F.lit(float("inf")))
     bounded = points.join(near.select("id", reach.alias("bound")), "id")
+    # a query asks a lump once, not each of its cells
     wider = written(bounded.mapInPandas(ring(True), asked_as), "lof-asked")
-    more, n_more = _search(wider, cells, k, same, block_rows)
+    of_cell = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(lump)], "cell int, lump int"))
+    more, n_more = _search(wider, cells.rows.join(of_cell, "cell"), in_lump, n_cells, k, same, block_rows)
     held = near.select("id", F.col("neighbours.distance").alias("d"), F.col("neighbours.neighbour").alias("n"))
-    return _merged(held.unionByName(more), k), n_first + n_more
+    return _merged(held.unionByName(more.where(F.size("d") > 0)), k), n_first + n_more
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int, same: bool = False, block_rows: int = 8192, max_pivots: int = 1024) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logwarden.models import forest, levels, search
+from logwarden.models import forest, levels, lof, search
 from logwarden.models.iforest import IsolationForest, IsolationForestModel, average_path
 from logwarden.models.lof import LocalOutlierFactor, nearest, nearest_counted
 from logwarden.models.ocsvm import OneClassSvm
@@ -208,3 +208,23 @@ def test_grid_of_forest_sizes_equals_single_fits(spark, planted):
         threshold = evaluate.fpr_thresholds(model.decision(held), fprs=(0.05,)).first().threshold
         want = search.judge(model.decision(planted), threshold).first()
         assert abs(r.threshold - threshold) < 1e-9 and (r.tp, r.fp, r.fn) == (want.tp, want.fp, want.fn) and abs(r.roc_auc - want.roc_auc) < 1e-9
+
+
+def test_wide_rows_ask_lumps_not_cells(spark, monkeypatch):
+    """Where distances rule out nothing, a query is sent once a lump: rows asked do not grow with the number of cells."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 32))
+    train = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>").repartition(4)
+    sizes, plain = [], lof.written
+    monkeypatch.setattr(lof, "written", lambda df, name: sizes.append((name, plain(df, name))) or sizes[-1][1])
+    got = {r.id: r.neighbours for r in nearest(train.where("id < 300"), train, 5).collect()}
+    for i in range(300):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        assert [m.neighbour for m in got[i]] == np.argsort(d)[:5].tolist()
+    asked = [df.count() for name, df in sizes if name == "lof-asked"]
+    assert len(asked) == 2 and asked[1] > 300 * 10, "nothing is ruled out here"
+    n_lumps = dict(sizes)["lof-asked"].agg(F.max("lump")).first()[0] + 1
+    assert asked[1] <= 300 * n_lumps and n_lumps > 30
+    lumps = lof._lumps(rng.normal(size=(38, 32)), np.full(38, 1000), 8192)
+    assert np.bincount(lumps).max() * 1000 <= 8192 and lumps.max() + 1 < 10
+    assert set(lof._lumps(np.zeros((1, 1)), np.array([5]), 2)) == {0}
