@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.cluster import spread
+from logwarden.cluster import dealt, spread
 
 _DIALECT = {
     "spark": {"K": "k", "Q": "`", "CLOCK": "date_format(ts, 'HH:mm')",
@@ -109,7 +109,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(raw_events(spark, sf_dir)).selectExpr(*line_projection("spark"))
+    return dealt(raw_events(spark, sf_dir), "event_id").selectExpr(*line_projection("spark"))
 
 
 _RAW_EVENTS_SQL = "(select *, cast(json_extract_string(props, '$.k') as int) as k from events)"
@@ -163,4 +163,4 @@ def field_projection(dialect: str) -> list[str]:
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(raw_events(spark, sf_dir)).selectExpr("event_id as ingest_seq", "k", *field_projection("spark"))
+    return dealt(raw_events(spark, sf_dir), "event_id").selectExpr("event_id as ingest_seq", "k", *field_projection("spark"))

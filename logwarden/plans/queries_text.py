@@ -28,7 +28,8 @@ def _header(spark, file: str) -> DataFrame:
 
 
 def _file_lines(spark, sf_dir, file: str, kind: str) -> DataFrame:
-    body = fields(spark, sf_dir).selectExpr(f"'{file}' as file", "ingest_seq", f"{FIELD_LINES[kind]} as value")
+    # formed once a row, and after the rows are dealt: filters on the text stay above
+    body = tx.once(fields(spark, sf_dir), value=F.expr(FIELD_LINES[kind])).select(F.lit(file).alias("file"), "ingest_seq", "value")
     return body.unionByName(_header(spark, file)) if kind == "csv" else body
 
 
