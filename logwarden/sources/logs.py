@@ -128,21 +128,30 @@ def _record_map(text: Column) -> Column:
 def sniff(lines: DataFrame) -> DataFrame:
     """Per file: first and last text, first line, header, and line counts.
 
-    One aggregate with map-side combine, so a file holding most rows costs no more than others.
+    Two passes. The first keeps numbers only, so a file holding most rows costs no more than others and no line is sorted;
+    the second fetches the three lines that they point to.
     """
     t = tx.strip(F.col("value"))
+    seq, shown = F.col("ingest_seq"), F.when(F.length(t) > 0, F.col("ingest_seq"))
     full = F.length(t) > 0
-    seq = F.col("ingest_seq")
     jsonl = full & ~t.startswith("//") & ~_is_json_value_but_no_record(t)
-    return lines.groupBy("file").agg(
-        F.min_by("value", seq).alias("first_line"),
-        F.min_by(F.when(full, F.col("value")), F.when(full, seq)).alias("header_line"),
-        F.substring(F.min_by(F.when(full, t), F.when(full, seq)), 1, 1).alias("first_char"),
-        F.right(F.max_by(F.when(full, t), F.when(full, seq)), F.lit(1)).alias("last_char"),
-        F.min(F.when(full, seq)).alias("header_seq"),
+    counted = lines.groupBy("file").agg(
+        F.min(seq).alias("_first"), F.min(shown).alias("header_seq"), F.max(shown).alias("_last"),
         F.count_if(full & ~t.rlike('^("")$')).alias("n_lines"),
         F.count_if(jsonl).alias("n_jsonl"),
     )
+    counted = written(counted, "sniffed-numbers")
+    places = counted.select(F.col("file").alias("_of"), "_first", "header_seq", "_last")
+    pointed = lines.join(broadcast_if_small(places), F.col("file").eqNullSafe(F.col("_of"))).where(
+        (seq == F.col("_first")) | (seq == F.col("header_seq")) | (seq == F.col("_last")))
+    # a row or three a file
+    at = lambda place: F.max(F.when((seq == F.col(place)) & ((F.length(t) > 0) | F.lit(place == "_first")), F.col("value")))
+    texts = pointed.groupBy("_of").agg(at("_first").alias("first_line"), at("header_seq").alias("header_line"), at("_last").alias("_last_line"))
+    texts = written(texts, "sniffed-lines")
+    # Written as well: the formats are read by every later pass, the text is not scanned again.
+    return written(counted.join(broadcast_if_small(texts), F.col("file").eqNullSafe(F.col("_of")), "left").select(
+        "file", "first_line", "header_line", F.substring(tx.strip(F.col("header_line")), 1, 1).alias("first_char"),
+        F.right(tx.strip(F.col("_last_line")), F.lit(1)).alias("last_char"), "header_seq", "n_lines", "n_jsonl"), "sniffed")
 
 
 def _name_ends(*suffixes: str) -> Column:
@@ -321,8 +330,7 @@ class Ingest:
         formats = formats or {}
         known_csv = [f for f, kind in formats.items() if kind == "csv"]
         unknown = ~F.col("file").isin(*formats) | F.col("file").isin(*known_csv)
-        # Written once: the formats are read by every later pass, the text is not scanned again.
-        sniffed = written(sniff(lines.where(unknown) if formats else lines), "sniffed")
+        sniffed = sniff(lines.where(unknown) if formats else lines)
         # Paths of document candidates: one string per JSON file, as in the file listing itself.
         candidates = sniffed.where(may_be_json()).join(broadcast_if_small(self.files), F.col("file") == F.col("name")).select("path")
         paths_read = [r.path for r in candidates.toLocalIterator()]

@@ -3,6 +3,8 @@ import json
 import pytest
 
 from helpers import write
+from logwarden import cluster
+from logwarden.sources import logs
 from logwarden.sources.logs import Ingest, csv_cells, latest_by_name, list_sources, parse_files
 from pyspark.sql import functions as F
 
@@ -151,3 +153,36 @@ def test_activity_of_files_goes_by_event_place(spark, tmp_path):
         want[i % 24] += 1
     want[10] += 1
     assert hours == want
+
+
+def test_sniff_sorts_no_lines(spark):
+    """Numbers are counted by file in a hash; lines with a sort would be held by the task of a large file."""
+    rows = [("a.csv", i, v) for i, v in enumerate(["  ", "Time,User", "1,x", "", '""', " last] "])] + [("b.log", 9, None), ("b.log", 10, "[one"), (None, 3, "{}")]
+    plans, plain = [], logs.written
+    logs.written = lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or plain(df, name)
+    try:
+        found = {r.file: r for r in logs.sniff(spark.createDataFrame(rows, "file string, ingest_seq bigint, value string")).collect()}
+    finally:
+        logs.written = plain
+    assert "SortAggregate" not in dict(plans)["sniffed-numbers"]
+    a, b, c = found["a.csv"], found["b.log"], found[None]
+    assert (a.first_line, a.header_line, a.first_char, a.last_char, a.header_seq, a.n_lines, a.n_jsonl) == ("  ", "Time,User", "T", "]", 1, 3, 3)
+    assert (b.first_line, b.header_line, b.first_char, b.last_char) == (None, "[one", "[", "e") and (c.first_char, c.last_char) == ("{", "}")
+
+
+def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
+    """One row group goes whole to one split, however many splits the scan has."""
+    path = str(tmp_path / "t")
+    spark.range(0, 4000, 1, 1).selectExpr("id", "repeat(uuid(), 40) as text").write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 16)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 10)
+    try:
+        df = spark.read.parquet(path)
+        sizes = lambda d: [n for n in d.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()]
+        cores = spark.sparkContext.defaultParallelism
+        assert df.rdd.getNumPartitions() >= cores and max(sizes(df)) == 4000
+        dealt = sizes(cluster.dealt(df, "id", 200))
+        assert len(dealt) == max(20, cores) and max(dealt) < 400 and sum(dealt) == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
