@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from logwarden.sources import digests, records
 from logwarden.sources.logs import Ingest
 
 PARTS = 4
+CAPTURE_ROWS = 2_000_000  # of both days, for each file of the first
 
 
 def written_files(spark, sf_dir: str) -> dict[str, str]:
@@ -20,15 +23,23 @@ def written_files(spark, sf_dir: str) -> dict[str, str]:
     base = work_path(spark, "source-files")
     rows = raw_events(spark, sf_dir)
     ordered = lambda df: df.repartitionByRange(PARTS, "event_id").sortWithinPartitions("event_id")
-    log = rows.where("event_id % 3 = 0").selectExpr("event_id", "k", *line_projection("spark")).selectExpr("event_id", f"{UNDATED['log']} as value")
-    ordered(log).select("value").write.text(f"{base}/a-log")
-    given = rows.where("event_id % 3 > 0").selectExpr("event_id", "k", *field_projection("spark"))
-    given = given.withColumn("f_timestamp", F.when(F.col("k") % 4 == 0, "").otherwise(F.col("f_timestamp")))
+    # events are ordered, not their texts
+    third = lambda n: ordered(rows.where(f"event_id % 3 = {n}"))
+    log = third(0).selectExpr("event_id", "k", *line_projection("spark")).selectExpr(f"{UNDATED['log']} as value")
+
+    def given(n: int) -> DataFrame:
+        found = third(n).selectExpr("event_id", "k", *field_projection("spark"))
+        return found.withColumn("f_timestamp", F.when(F.col("k") % 4 == 0, "").otherwise(F.col("f_timestamp")))
+
     names = [c.strip().lower() for c in CSV_HEADER.split(",")]
-    cells = [F.col(c).alias(n) for c, n in zip([c for c in given.columns if c.startswith("f_")], names)]
-    ordered(given.where("event_id % 3 = 1")).select(*cells).write.options(
-        header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{base}/b-csv")
-    ordered(given.where("event_id % 3 = 2")).selectExpr(f"{FIELD_LINES['record']} as value").write.text(f"{base}/c-lines")
+    rows_of_csv = given(1)
+    cells = [F.col(c).alias(n) for c, n in zip([c for c in rows_of_csv.columns if c.startswith("f_")], names)]
+    table_of = rows_of_csv.select(*cells).write.options(header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    records_of = given(2).selectExpr(f"{FIELD_LINES['record']} as value").write
+    writes = [lambda: log.write.text(f"{base}/a-log"), lambda: table_of.csv(f"{base}/b-csv"), lambda: records_of.text(f"{base}/c-lines")]
+    with ThreadPoolExecutor(len(writes)) as pool:  # a folder has few files, so the folders are written side by side
+        for done in [pool.submit(w) for w in writes]:
+            done.result()
     return {name: f"{base}/{name}" for name in ("a-log", "b-csv", "c-lines")}
 
 
@@ -73,7 +84,8 @@ def _flow_files(spark, sf_dir) -> DataFrame:
     flows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias(" Flow Id"), F.col("l_linenumber").alias(" Segment"), F.when(F.col("l_quantity") > 45, "Infinity").otherwise(F.col("l_quantity").cast("string")).alias("Flow Bytes/s"),
         F.col("l_tax").alias(" Idle"), F.when(F.col("l_returnflag") == "R", "DoS Hulk").otherwise("BENIGN").alias(" Label"))
-    flows.where("` Flow Id` % 2 = 0").repartition(2).write.csv(f"{base}/Monday-WorkingHours", header=True, ignoreLeadingWhiteSpace=False)
+    files = max(2, -(-flows.count() // CAPTURE_ROWS))  # dealt by flow: a round robin would sort all rows first
+    flows.where("` Flow Id` % 2 = 0").repartition(files, "` Flow Id`").write.csv(f"{base}/Monday-WorkingHours", header=True, ignoreLeadingWhiteSpace=False)
     shuffled = flows.where("` Flow Id` % 2 = 1").select(" Label", "Flow Bytes/s", " Segment", " Flow Id")
     shuffled.write.csv(f"{base}/Friday-WorkingHours", header=True, ignoreLeadingWhiteSpace=False)
     read = records.read_flows(spark, [f"{base}/Monday-WorkingHours", f"{base}/Friday-WorkingHours"])

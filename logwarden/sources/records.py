@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +46,19 @@ def _flow_names(header: str) -> list[str]:
 def flow_layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, header: the first line of every file, from the split that starts it. Empty files have none."""
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value"), F.monotonically_increasing_id().alias("row"))
-    return lines.where("block = 0").groupBy("path").agg(F.min_by("value", "row").alias("header"))
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("header"))
+
+    def first_lines(batches):
+        """Lines come in the order of their file, so the first one of a path is kept and no line is sorted."""
+        seen = set()
+        for batch in batches:
+            paths = batch.column("path")
+            new = [p for p in pc.unique(paths).to_pylist() if p not in seen]
+            seen.update(new)
+            if new:
+                yield batch.take(pa.array([pc.index(paths, p).as_py() for p in new], pa.int64()))
+
+    return lines.where("block = 0").select("path", "header").mapInArrow(first_lines, "path string, header string")
 
 
 def read_flows(spark: SparkSession, paths: str | list[str], label: str = "Label") -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from helpers import auth_log, write
 from logwarden.schema import KDD_SCHEMA, UNSW_SCHEMA
+from logwarden.sources import records
 from logwarden.sources.logs import parse_files
 from logwarden.sources.records import read_flows, read_records, read_traffic, write_features, write_report
 from logwarden.streaming import streams
@@ -97,3 +98,13 @@ def test_flow_files_of_different_headers(spark, tmp_path):
     (tmp_path / "x.csv").write_text("A,B\n1,2\n")
     with pytest.raises(ValueError, match="x.csv"):
         read_flows(spark, str(tmp_path))
+
+
+def test_layouts_of_captures_sort_no_lines(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f"A{i},Label\n" + "1,x\n" * 50 + "0,0\n")
+    (tmp_path / "empty.csv").write_text("")
+    layouts = records.flow_layouts(spark, str(tmp_path))
+    assert sorted(r.header for r in layouts.collect()) == ["A0,Label", "A1,Label", "A2,Label"]
+    plan = layouts._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Aggregate" not in plan
