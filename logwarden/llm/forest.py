@@ -5,7 +5,8 @@ difference of two random vectors, to about ``leaf_rows`` rows a leaf (never unde
 gets its leaf in every tree. Equal vectors are one entry with its ``k + 1`` smallest ids, all that a result can need, so
 a vector that a third of the rows share is one row. *Search.* Nodes of all trees wait in one queue, the one whose worst
 margin on the way is best goes first, until ``probes`` leaves are found; the vectors in them are ranked exactly, block of
-leaves by block, and the best of all blocks are kept.
+leaves by block, and the best of all blocks are kept. Each query is first ranked against a quarter of the rows, at most
+the sample: a block then tells only what is no worse than the ``k + 1`` best found there, which are candidates too.
 
 ``probes`` is set by measuring: for ``tune_queries`` queries (bounded) the true neighbours are found over all rows, and
 as many leaves are searched as reach ``recall``. Data without structure need a large share of the leaves; the index cannot help that.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from logwarden.cluster import written
 
+SLICE = 16_384  # pairs whose exact products are worked out together
+
 
 def entries(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """One row per different vector: ``entry`` (its smallest id), ``vec`` and the ``k + 1`` smallest ids."""
@@ -109,6 +112,42 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(axis=1)
 
 
+def _searched(x: np.ndarray, entry: np.ndarray, leaf: np.ndarray, q: np.ndarray, least: np.ndarray, owner: np.ndarray, probed: np.ndarray,
+              k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, entry and exact score of each query's ``k + 6`` best rows of its leaves, if no worse than its ``least``.
+
+    ``x``, ``entry`` and ``leaf`` are the rows (one per tree that has them here), ``owner`` and ``probed`` the queries' leaves."""
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for one in np.unique(leaf):
+        at, who = np.flatnonzero(leaf == one), owner[probed == one]
+        for part in (who[i : i + 2048] for i in range(0, len(who), 2048)):
+            value = q[part] @ x[at].T
+            n = min(k + 6, len(at))
+            top = np.argpartition(-value, n - 1, axis=1)[:, :n]
+            kept.append((np.repeat(part, n), at[top].reshape(-1), np.take_along_axis(value, top, axis=1).reshape(-1)))
+    if not kept:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    # products of the matrix may differ from the exact ones in their last bits: all that could be among the best stay
+    slack = 1e-12 * np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
+    who, what, near = (np.concatenate(v) for v in zip(*kept))
+    close = near >= (least - slack)[who]
+    who, what, near = who[close], what[close], near[close]
+    _, first, one = np.unique(entry, return_index=True, return_inverse=True)
+    both, at = np.unique(who * len(x) + first[one[what]], return_index=True)  # an entry may be in leaves of several trees
+    who, what, near = both // len(x), both % len(x), near[at]
+    order = np.lexsort((-near, who))
+    who, what, near = who[order], what[order], near[order]
+    begin = np.flatnonzero(np.append(True, who[1:] != who[:-1])[: len(who)])
+    length = np.diff(np.append(begin, len(who)))
+    cut = near[begin + np.minimum(k + 5, length - 1)]
+    close = near >= np.repeat(cut, length) - slack[who]
+    who, what = who[close], what[close]
+    value = np.concatenate([np.zeros(0), *[_exact(q[who[i : i + SLICE]], x[what[i : i + SLICE]]) for i in range(0, len(who), SLICE)]])
+    best = _best(who, entry[what], value, k + 6)
+    best = best[value[best] >= least[who[best]]]
+    return who[best], entry[what[best]], value[best]
+
+
 def brute_force(table: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
     """True ``k`` best entries of a bounded set of queries over all rows: query (its number), entry, vec, score."""
     sent = table.sparkSession.sparkContext.broadcast(queries)
@@ -138,12 +177,13 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
     table = written(entries(vectors, id_col, vector_col, k), "entries")
-    sample = [r.vec for r in table.select("vec", F.xxhash64("entry").alias("h"), "entry").orderBy("h", "entry").limit(sample_rows).collect()]
-    if not sample:
+    drawn = table.select("vec", F.xxhash64("entry").alias("h"), "entry").orderBy("h", "entry").limit(sample_rows).select("vec", "entry").toArrow()
+    if not drawn.num_rows:
         return spark.createDataFrame([], empty)
-    sizes = np.bincount([len(v) for v in sample])
-    size = int(sizes.argmax())
-    sample = np.array([v for v in sample if len(v) == size])
+    sample = drawn.column("vec").to_numpy()
+    sizes = np.array([len(v) for v in sample])
+    size = int(np.bincount(sizes).argmax())
+    named, sample = drawn.column("entry").to_numpy()[sizes == size], np.stack(sample[sizes == size])
     table = table.filter(F.size("vec") == size)
     total = table.count()
     depth = int(np.ceil(np.log2(max(1, min(total / leaf_rows, len(sample) / 8)))))
@@ -170,6 +210,27 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     # queries are dealt over several copies of a block, so that a group stays small however many there are
     copies = int(max(1, np.ceil(asked.count() / 50_000)))
 
+    some = min(len(sample), max(k + 1, -(-total // 4)))
+    seen = spark.sparkContext.broadcast((named[:some], sample[:some]))
+
+    def seeded(batches):
+        """The best of the seen rows for each query, and the score that others must reach."""
+        names, x = seen.value
+        zero = np.zeros(len(x), dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                q = np.array(part.column(1).to_pylist(), dtype=float).reshape(part.num_rows, -1)
+                owner, probed = np.arange(len(q)), np.zeros(len(q), dtype=np.int64)
+                who, entry, value = _searched(x, names, zero, q, np.full(len(q), -np.inf), owner, probed, k)
+                found = [np.flatnonzero(who == i)[: k + 1] for i in range(len(q))]
+                least = [value[f[-1]] if len(f) > k else -np.inf for f in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(least, pa.float64()), pa.array([entry[f] for f in found], pa.list_(pa.int64())),
+                     pa.array([value[f] for f in found], pa.list_(pa.float64()))], names=["query", "vec", "least", "entries", "scores"])
+
+    seeds = written(asking.mapInArrow(seeded, "query long, vec array<double>, least double, entries array<long>, scores array<double>"), "seeds")
+
     def index(batches):
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
@@ -180,50 +241,35 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
             for copy in range(copies):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(leaf // per_block), pa.array(np.full(len(leaf), copy)), pa.array([[v] for v in leaf.tolist()], pa.list_(pa.int64())),
-                     batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["block", "copy", "leaves", "entry", "vec"])
+                     batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.nulls(len(rows), pa.float64())],
+                    names=["block", "copy", "leaves", "entry", "vec", "least"])
 
     def probe(batches):
         for batch in batches:
             out = []
-            for query, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for query, vec, least in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 leaves = np.sort(np.array(sent.value.search(np.array(vec), probes)))
                 cut = np.flatnonzero(np.diff(leaves // per_block)) + 1
-                out += [(int(part[0]) // per_block, query % copies, part.tolist(), query, vec) for part in np.split(leaves, cut)]
+                out += [(int(part[0]) // per_block, query % copies, part.tolist(), query, vec, least) for part in np.split(leaves, cut)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.float64())))],
-                                                 names=["block", "copy", "leaves", "entry", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.float64()), pa.float64()))],
+                                                 names=["block", "copy", "leaves", "entry", "vec", "least"])
 
-    schema = "block long, copy long, leaves array<long>, entry long, vec array<double>"
+    schema = "block long, copy long, leaves array<long>, entry long, vec array<double>, least double"
 
     def rank(key, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query": np.zeros(0, np.int64), "entry": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(rows) or not len(asks):
-            return none
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "entry": np.zeros(0, np.int64), "score": np.zeros(0)})
         x, q = np.array(rows["vec"].tolist()), np.array(asks["vec"].tolist())
-        leaf = np.array([v[0] for v in rows["leaves"]])
         owner = np.repeat(np.arange(len(asks)), [len(v) for v in asks["leaves"]])
-        probed = np.concatenate(asks["leaves"].to_numpy())
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        for one in np.unique(leaf):
-            at, who = np.flatnonzero(leaf == one), owner[probed == one]
-            for part in (who[i : i + 2048] for i in range(0, len(who), 2048)):
-                value = q[part] @ x[at].T
-                n = min(k + 6, len(at))
-                top = np.argpartition(-value, n - 1, axis=1)[:, :n]
-                kept.append((np.repeat(part, n), at[top].reshape(-1)))
-        if not kept:
-            return none
-        who, what = (np.concatenate(v) for v in zip(*kept))
-        _, first, one = np.unique(rows["entry"].to_numpy(), return_index=True, return_inverse=True)
-        both = np.unique(who * len(x) + first[one[what]])  # an entry may be in leaves of several trees
-        who, what = both // len(x), both % len(x)
-        value, entry = _exact(q[who], x[what]), rows["entry"].to_numpy()[what]
-        best = _best(who, entry, value, k + 6)
-        return pd.DataFrame({"query": asks["entry"].to_numpy()[who[best]], "entry": entry[best], "score": value[best]})
+        who, entry, value = _searched(x, rows["entry"].to_numpy(), np.array([v[0] for v in rows["leaves"]]), q, asks["least"].to_numpy(), owner,
+                                      np.concatenate(asks["leaves"].to_numpy()), k)
+        return pd.DataFrame({"query": asks["entry"].to_numpy()[who], "entry": entry, "score": value})
 
     left = table.select("entry", "vec").mapInArrow(index, schema).groupBy("block", "copy")
-    right = asking.select("query", "vec").mapInArrow(probe, schema).groupBy("block", "copy")
+    right = seeds.select("query", "vec", "least").mapInArrow(probe, schema).groupBy("block", "copy")
     found = left.cogroup(right).applyInPandas(rank, "query long, entry long, score double")
+    found = found.union(seeds.select("query", F.inline(F.arrays_zip(F.col("entries").alias("entry"), F.col("scores").alias("score")))))
     best = found.groupBy("query", "entry").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
     best = best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)

@@ -160,9 +160,11 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     marked = rows.withColumn("named", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))
     # the few files that may resemble a template at all, found once
     marked = written(marked.filter(F.exists(held, lambda h: F.arrays_overlap(h, anchors) & F.exists(patterns, lambda x: _resembles(x, h, bound)))), "licence-files")
-    spans = marked.select("file", "text").distinct().select("file", F.posexplode(_spans(F.col("text"), patterns, bound)).alias("span", "terms"))
+    # what is read more than once is written: each reader would cut and weigh the windows again
+    spans = written(marked.select("file", "text").distinct().select("file", F.posexplode(_spans(F.col("text"), patterns, bound)).alias("span", "terms")), "spans")
     own = similar(spans, ["file", "span"], given, least).groupBy("file").agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("own")).select("file", F.col("own.licence").alias("own"), (-F.col("own.s")).alias("own_similarity"))
+    own = written(own, "own-licences")
     whole = marked.select("file", terms(F.col("text")).alias("terms")).distinct()
     whole = similar(whole, ["file"], given, least_file).select("file", F.col("licence").alias("of_whole"), F.col("similarity").alias("whole_similarity"))
     scanned = marked.select("file", "path", "named").distinct().join(own, "file", "left").join(whole, "file", "left")
@@ -170,7 +172,7 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     licensed = scanned.filter("path is not null and (of_whole is not null or named and own is not null)").select(
         folder.alias("dir"), F.struct((-F.coalesce("whole_similarity", "own_similarity")).alias("s"), "path", F.coalesce("of_whole", "own").alias("licence")).alias("found"))
     licensed = licensed.groupBy("dir").agg(F.min("found").alias("found")).select("dir", F.col("found.licence").alias("licence"))
-    base = rows.select("id", "path", "file", folder.alias("dir")).join(own, "file", "left")
+    base = rows.select("id", "path", "file", folder.alias("dir")).join(broadcast_if_small(own), "file", "left")
     # nearest licensed ancestor of each directory, not of each file: directories are counted in the map tasks first
     dirs = base.filter("path is not null").select("dir").distinct()
     parts = F.split("dir", "/")
@@ -178,6 +180,7 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
         n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))).alias("u")).select("dir", "u.depth", F.col("u.above").alias("above"))
     nearest = up.join(licensed.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(
         F.max_by(F.struct("above", "licence"), "depth").alias("near")).select(F.col("dir").alias("_dir"), F.col("near.above").alias("from_dir"), F.col("near.licence").alias("inherited"))
+    nearest = written(nearest, "licensed-folders")
     joined = base.join(broadcast_if_small(nearest), F.col("path").isNotNull() & (F.col("dir") == F.col("_dir")), "left")
     origin = F.when(F.col("own").isNotNull(), "header").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
     return joined.select(F.col("id").alias(id_col), "path", F.coalesce("own", "inherited").alias("licence"), F.col("own_similarity").alias("similarity"),

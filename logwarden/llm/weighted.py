@@ -3,7 +3,8 @@
 *Weights.* A shingle is ``words`` words in a row (a shorter text is one shingle). Its weight is its count in the text times
 ``1 + ln(N / df)``; document frequencies under ``rare`` of all N documents count as that share, so only the frequent
 shingles need a table, at most (shingles of a mean text) / ``rare`` rows whatever N is. It is found exactly in two
-passes: a shingle that frequent is so in some chunk of documents; the chunks' candidates are then counted everywhere.
+passes: a shingle that frequent is so in some chunk of documents (a task's, of thousands of documents whatever the files
+are); the chunks' candidates are then counted everywhere.
 
 *Signatures.* For each of ``bands * rows`` draws, ICWS picks a shingle and a step, equal for two texts with probability
 equal to their weighted Jaccard similarity. Draws come from tables indexed by the shingle's hash. ``rows`` draws make a band.
@@ -38,7 +39,8 @@ from logwarden.llm.tokens import U, Words, chunks, encoded, mix
 
 RARE = 0.001
 CHUNK = 1 << 20
-COUNTED = 4_000_000  # shingles counted together
+COUNTED = 2_000_000  # shingles counted together
+CHUNK_DOCS = 8_000  # documents that a task counts at least, where there are as many for each core
 TABLE_ROWS = 2_000_000  # largest candidate table sent to tasks; more are counted by a shuffle
 GROUP = 256
 DEAL_ROWS = 20_000  # rows of a group of cells
@@ -89,29 +91,49 @@ class Weights:
         return out
 
 
+def _merged(hashes: np.ndarray, counts: np.ndarray, fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes and their counts, of a summary and of further ones that count once each."""
+    found, at, n = np.unique(np.concatenate([hashes, *fresh]), return_index=True, return_counts=True)
+    old = at < len(hashes)  # the summary comes first, so a hash of both is found there
+    n[old] += counts[at[old]] - 1
+    return found, n
+
+
 def _chunk_counts(batches, words: int, share: float, wanted: np.ndarray | None):
-    """(shingle, documents that hold it) per chunk: those in ``wanted``, or those in at least ``share`` of the chunk."""
-    def told(parts, n):
-        hashes, counts = np.unique(np.concatenate(parts), return_counts=True)
-        keep = counts >= math.ceil(share * n) if wanted is None else np.ones(len(hashes), dtype=bool)
-        return pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(counts[keep])], names=["shingle", "df"])
+    """(shingle, documents that hold it) per chunk: those in ``wanted``, or those that may be in at least ``share`` of the chunk.
+
+    Without ``wanted`` a task is one chunk, in a summary of about ``COUNTED`` shingles: where it overflows, the rarest go, and
+    ``lost`` bounds what each of them, or one that came back, had. Only where that could reach ``share`` a new chunk begins."""
+    def told(hashes, counts):
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["shingle", "df"])
 
-    held, total, docs = [], 0, 0
+    hashes, counts, held, total, docs, lost = np.zeros(0, U), np.zeros(0, np.int64), [], 0, 0, 0
     for batch in batches:
         texts = [encoded(t) for t in batch.column(0).to_pylist()]
         for part in chunks([len(t) for t in texts], CHUNK):
-            _, hashes, _ = shingles(texts[part], words)
+            _, found, _ = shingles(texts[part], words)
             if wanted is not None and len(wanted):
-                at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                hashes = hashes[wanted[at] == hashes]
-            held.append(hashes)
-            total += len(hashes)
+                at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+                found = found[wanted[at] == found]
+            held.append(found)
+            total += len(found)
             docs += part.stop - part.start
-            if total >= COUNTED:
-                yield told(held, docs)
-                held, total, docs = [], 0, 0
-    if held:
-        yield told(held, docs)
+            if total < COUNTED:
+                continue
+            hashes, counts = _merged(hashes, counts, held)
+            held, total = [], 0
+            while len(hashes) > COUNTED // 2:
+                least = int(counts.min())
+                if wanted is not None or lost + least >= share * docs - 1e-9:
+                    keep = counts + lost >= share * docs - 1e-9 if wanted is None else slice(None)
+                    yield told(hashes[keep], counts[keep])
+                    hashes, counts, docs, lost = hashes[:0], counts[:0], 0, 0
+                else:
+                    lost += least
+                    hashes, counts = hashes[counts > least], counts[counts > least]
+    hashes, counts = _merged(hashes, counts, held)
+    keep = counts + lost >= share * docs - 1e-9 if wanted is None else slice(None)
+    yield told(hashes[keep], counts[keep])
 
 
 def frequencies(docs: DataFrame, text_col: str, words: int, rare: float) -> Weights:
@@ -119,6 +141,8 @@ def frequencies(docs: DataFrame, text_col: str, words: int, rare: float) -> Weig
     spark, total = docs.sparkSession, docs.count()
     least = max(2, math.ceil(rare * total))
     texts, schema = docs.select(text_col), "shingle long, df long"
+    # a chunk says which shingles are frequent only if ``share`` of it is several documents; coalesce moves no rows
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, total // CHUNK_DOCS))
     share = least / max(1, total)
     found = texts.mapInArrow(lambda b: _chunk_counts(b, words, share, None), schema).select("shingle").distinct()
     found = written(found, "frequent")

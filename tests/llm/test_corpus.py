@@ -97,6 +97,29 @@ def test_nearest_vectors(spark):
     assert forest.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_search_of_a_block_is_bounded_in_memory():
+    """Every query in every leaf: equal to brute force, ties included, without a row of numbers for each pair found."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2000, 64))
+    x[1500:1540] = x[1500]
+    entry, leaf, q = np.arange(2000) * 3, np.arange(2000) % 40, rng.standard_normal((300, 64))
+    x, entry, leaf = np.concatenate([x, x]), np.concatenate([entry, entry]), np.concatenate([leaf, 40 + leaf])  # two trees
+    owner, probed = np.repeat(np.arange(300), 80), np.tile(np.arange(80), 300)
+    exact = np.stack([(q * v).sum(axis=1) for v in x[:2000]], axis=1)
+    for least in (np.full(300, -np.inf), np.sort(exact, axis=1)[:, -5]):
+        tracemalloc.start()
+        who, found, value = forest._searched(x, entry, leaf, q, least, owner, probed, 20)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100_000_000
+        for i in range(300):
+            order = [j for j in np.lexsort((np.arange(2000), -exact[i]))[:26] if exact[i, j] >= least[i]]
+            assert found[who == i].tolist() == [3 * j for j in order]
+            assert value[who == i].tolist() == exact[i, order].tolist()
+
+
 def test_pieces_equal_the_library(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     own, other = pieces.Pieces(pieces.read_model(path)), sentencepiece.SentencePieceProcessor(model_file=path)
