@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -299,6 +300,30 @@ def test_weighted_copies(spark):
     assert all(got[i] == i for i in range(9, 14)) and weighted.classes(frame(spark, [])).count() == 0
 
 
+def test_frequent_shingles_are_told_without_the_rare_ones_of_a_short_rest(monkeypatch):
+    """A task whose summary overflows again and again tells every shingle of the wanted share, and few others."""
+    monkeypatch.setattr(weighted, "COUNTED", 400)
+    monkeypatch.setattr(weighted, "CHUNK", 2000)
+    texts = [f"a{i} b{i} c{i} d{i} e{i}" if i % 9 else f"same five words stand here{i // 9 % 20 * (i % 2)}" for i in range(2005)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 300])], names=["text"]) for i in range(0, 2005, 300)]
+    counts = Counter(int(h) for t in texts for h in weighted.shingles([t.encode()], 5)[1].view(np.int64))
+    told = Counter()
+    rows = 0
+    for batch in weighted._chunk_counts(iter(batches), 5, 0.004, None):
+        told.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+        rows += batch.num_rows
+    assert {h for h, n in counts.items() if n >= 0.004 * 2005} <= set(told) and rows < 60
+    wanted = np.sort(np.array([h for h, n in counts.items() if n > 1][:10] + [5], dtype=np.int64).view(np.uint64))
+    got = Counter()
+    for batch in weighted._chunk_counts(iter(batches), 5, 0.004, wanted):
+        got.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+    assert got == {int(h): counts[int(h)] for h in wanted.view(np.int64) if counts[int(h)]}
+    every = Counter()
+    for batch in weighted._chunk_counts(iter(batches), 5, 0.0, None):
+        every.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+    assert every == counts
+
+
 @pytest.mark.parametrize("group", [7, 256])
 def test_open_pairs_of_weighted_copies_lose_no_link(spark, monkeypatch, group):
     """One bucket of many edited copies, cut into one or several blocks: every linked pair stays, and few others do."""
