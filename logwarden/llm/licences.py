@@ -95,7 +95,8 @@ def similar(rows: DataFrame, keys: list[str], given: DataFrame, least: float) ->
     theirs = _vectors(each, ["template", "licence"], idf, most)
     norms = theirs.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("their_norm"))
     theirs = theirs.join(F.broadcast(norms), "template").select("template", "licence", "term", F.col("weight").alias("their_weight"), "their_norm")
-    mine = _vectors(rows, keys, idf, most)
+    # dealt by key before they are cut into terms: every grouping below then stays inside its task
+    mine = _vectors(rows.repartition(*keys), keys, idf, most)
     # norm and products in one grouping: terms of no template have a null template and add to the norm only
     paired = mine.join(F.broadcast(theirs), "term", "left")
     products = paired.filter("template is not null").groupBy(*keys, "template", "licence").agg(

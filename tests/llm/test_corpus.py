@@ -265,6 +265,18 @@ def test_licences(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, path string, text string"), F.col("path")).count() == 0
 
 
+def test_licences_work_out_windows_once(spark):
+    """Windows are cut in one job, and their terms are weighed where the window is: no term goes through a shuffle."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    files = spark.createDataFrame([(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b.py", "x = 1")], "doc_id long, path string, text string")
+    found = licences.scan(files, F.col("path"))
+    assert "posexplode" not in plan(found) and sorted((r.doc_id, r.licence, r.origin) for r in found.collect()) == [(1, "MIT", "header"), (2, "MIT", "inherited")]
+    rows = files.select("doc_id", licences.terms(F.col("text")).alias("terms"))
+    told = licences.similar(rows, ["doc_id"], licences.templates(spark), 0.75)
+    assert [tuple(r) for r in told.collect()] == [(1, "MIT", 1.0)] and "hashpartitioning(doc_id" in plan(told)
+    assert not [line for line in plan(told).splitlines() if "hashpartitioning(doc_id" in line and "term" in line.split("hashpartitioning(doc_id")[1].split("),")[0]]
+
+
 def test_wrapped_notices_and_full_texts(spark):
     """Notices over several lines, in comments, inside one long line, and heads of full licence texts."""
     bsd = "Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions\n// are met:\n"
