@@ -190,15 +190,33 @@ def top_values(df: DataFrame, columns: Sequence[str], n: int = 15) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def heavy_hitters(df: DataFrame, columns: Sequence[str], n: int = 10, capacity: int = 2048) -> DataFrame:
+def value_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per value of every column: place of the column, value as text, count; nulls left out. Written once.
+
+    Each column is read and counted by itself, in its own type where its text tells the same values apart, so rows are not
+    spread to one row a cell. Store costly input.
+    """
+    same = (T.IntegralType, T.DecimalType, T.DateType, T.BooleanType)
+    parts = []
+    for i, c in enumerate(columns):
+        v = F.col(f"`{c}`") if isinstance(df.schema[c].dataType, same) else F.col(f"`{c}`").cast("string")
+        counted = df.select(v.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+        parts.append(counted.select(F.lit(i).alias("at"), F.col("value").cast("string").alias("value"), "n"))
+    return written(reduce(lambda x, y: x.unionByName(y), parts), "value-totals")
+
+
+def heavy_hitters(df: DataFrame, columns: Sequence[str], n: int = 10, capacity: int = 2048, totals: DataFrame | None = None) -> DataFrame:
     """The ``n`` most frequent values of every column with exact counts; ties in value order, nulls left out.
 
     Each task keeps a Misra-Gries summary of at most ``capacity`` values a column: where it overflows, the count of the
     largest value that goes is taken off all others. Summed over tasks, these deductions bound what a summary can miss,
     so only values that may still be among the first are counted, in one pass. A column where that proves nothing, as
-    all its values are about equally rare, is counted in full.
+    all its values are about equally rare, is counted in full. Where the caller has counted all values
+    (``totals``, of ``value_totals``) only the first of each column are taken.
     """
     columns = list(columns)
+    if totals is not None:
+        return _firsts([totals.where(F.col("at") == i).orderBy(F.desc("n"), F.asc("value")).limit(n) for i in range(len(columns))], columns, n)
 
     def summarise(batches):
         counts, lost = [pd.Series(dtype="int64") for _ in columns], [0] * len(columns)
@@ -240,6 +258,11 @@ def heavy_hitters(df: DataFrame, columns: Sequence[str], n: int = 10, capacity:
         parts.append(texts.select(F.inline(each)).where("value is not null").groupBy("at", "value").agg(F.count("*").alias("n")))
     if not parts:
         return df.sparkSession.createDataFrame([], "feature string, value string, n bigint, rank int")
+    return _firsts(parts, columns, n)
+
+
+def _firsts(parts: Sequence[DataFrame], columns: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` most frequent values of each column, of counts by its place."""
     names = F.array(*[F.lit(c) for c in columns])
     order = Window.partitionBy("at").orderBy(F.desc("n"), F.asc("value"))
     counted = reduce(lambda x, y: x.unionByName(y), parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
@@ -262,9 +285,11 @@ def inspection(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10)
                  F.min(as_text).alias(f"first__{i}"), F.max(as_text).alias(f"last__{i}"), F.count_if(as_number == 0).alias(f"zeros__{i}"),
                  F.count_if(F.abs(as_number) == float("inf")).alias(f"infinities__{i}")]
     wide = _long(df.agg(*aggs), columns, ["n", "nulls", "min", "max", "first", "last", "zeros", "infinities"])
-    long = unpivoted(df, columns, "string").where("value is not null")
-    distinct = long.groupBy("feature", "value").agg(F.lit(1).alias("one")).groupBy("feature").agg(F.count("*").alias("distinct"))
-    top = heavy_hitters(df, columns, n).groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
+    # one count of all values serves both the number of different ones and the most frequent ones
+    totals = value_totals(df, columns)
+    names = F.array(*[F.lit(c) for c in columns])
+    distinct = totals.groupBy("at").agg(F.count("*").alias("distinct")).select(F.get(names, F.col("at")).alias("feature"), "distinct")
+    top = heavy_hitters(df, columns, n, totals=totals).groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
     kind = F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])])
     return wide.join(F.broadcast(distinct), "feature", "left").join(F.broadcast(top), "feature", "left").select(
         "feature", kind[F.col("feature")].alias("kind"), "n", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"), "min", "max", "first", "last", "zeros", "infinities",

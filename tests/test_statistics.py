@@ -183,6 +183,22 @@ def test_heavy_hitters_equal_full_counts(spark):
     assert profile.heavy_hitters(df.limit(0), df.columns).count() == 0
 
 
+def test_inspection_counts_each_value_once(spark, monkeypatch):
+    """Distinct and most frequent values come from one count, by text: -0.0 and 0.0 differ, as do 1 and 1.00 of other columns."""
+    from datetime import date
+    from decimal import Decimal
+
+    rows = [(i % 7, float(-0.0 if i % 2 else 0.0) if i % 5 else float("nan"), f"t{i}", Decimal(i % 3), date(2024, 1, 1 + i % 4), None, i % 2 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b double, c string, d decimal(8,2), e date, f string, g boolean")
+    monkeypatch.setattr(profile, "unpivoted", None)
+    got = {r.feature: r for r in profile.inspection(df, n=2).collect()}
+    assert {c: r.distinct for c, r in got.items()} == {"a": 7, "b": 3, "c": 60, "d": 3, "e": 4, "f": 0, "g": 2}
+    tops = {c: [tuple(t) for t in r.top or []] for c, r in got.items()}
+    assert tops == {"a": [("0", 9), ("1", 9)], "b": [("-0.0", 24), ("0.0", 24)], "c": [("t0", 1), ("t1", 1)], "d": [("0.00", 20), ("1.00", 20)],
+                    "e": [("2024-01-01", 15), ("2024-01-02", 15)], "f": [], "g": [("false", 30), ("true", 30)]}
+    assert profile.inspection(df.limit(0)).where("n = 0 and distinct = 0 and top is null").count() == 7
+
+
 def test_audit_tells_rows_apart_by_value(spark, monkeypatch):
     """Swapped nulls are different rows, -0.0 and 0.0 the same, and equal fingerprints are settled by the rows."""
     rows = [("f", None, "a", 0.0), ("f", "a", None, 0.0), ("f", "a", None, -0.0), ("g", "a", None, 0.0), ("g", "a", None, 0.0), (None, None, None, None), (None, None, None, None), ("g", "x", "y", float("nan"))]
