@@ -22,10 +22,15 @@ from logwarden.llm import leaks, pieces, ranking, suffixes, weighted
 from logwarden.llm.queries import PIECE_MODEL, table
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns but the text as ``row``: texts go to and from the tasks' Python once."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = ranking.train(docs, table(spark, sf_dir, "labels"))
-    marked = ranking.scored(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")), model)
-    return marked.filter("predicted = 1").select("row.*")
+    marked = ranking.scored(_carried(docs).drop("doc_id"), model)
+    return marked.filter("predicted = 1").select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +43,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    base = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    cut = suffixes.without_repeats(base, window=50, tokens="words")
-    text = F.when(F.col("n_removed") > 0, F.col("text").cast("string")).otherwise(F.col("row.text"))
+    cut = suffixes.without_repeats(_carried(docs), window=50, tokens="words")
+    text = F.col("text").cast("string")
     return cut.select(*[text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
                         else F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -7,7 +7,7 @@ If none fits, the position is marked in a bitfield as failed and the piece befor
 the result of merging is the only sequence of pieces with all neighbours compatible, this finds it, in time near linear
 in the length. Runs of blanks, whose merges all rank last and equal, are merged from the left, as ties are.
 
-Parts repeat, so each task keeps their ids in a table of bounded size. Null texts count as empty; ties in rank go to the
+Parts repeat, so each task keeps their ids in a table of bounded size, dropped at its end. Null texts count as empty; ties in rank go to the
 left; very long texts and words need memory in proportion to themselves only. An empty table gives an empty result.
 """
 
@@ -21,14 +21,13 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from logwarden.llm.tokens import chunks
+from logwarden.llm.tokens import lots
 
 LOT_BYTES = 1 << 20  # texts that are encoded before their rows leave the task
 BLANK = "▁"
-TABLE_ROWS = 250_000
+TABLE_ROWS = 100_000  # most parts are rare, so larger tables hold more of what is not asked for again
 _RUNS = re.compile(f"({BLANK}*)([^{BLANK}]*)")
 
 
@@ -66,6 +65,10 @@ class Pieces:
         self.older: tuple[dict, dict] = ({}, {})  # what they held before they were last full
         self.newline = self._entry(self._unknown("\n"))
 
+    def forget(self) -> None:
+        """Empties the tables of parts: a worker goes on with tasks of other stages, which need the memory."""
+        self.tables, self.older = ({}, {}), ({}, {})
+
     def merged(self, text: str) -> list[str]:
         """Plain merging: always the pair of the best score, the leftmost of equals."""
         parts = list(text)
@@ -271,6 +274,22 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
+def _encoded(batches, pieces: Pieces, lot_bytes: int):
+    try:
+        for part in lots(batches, 1, lot_bytes):
+            ids, decoded, ends = [], [], [0]
+            for text in part.column(1):
+                found = pieces.encode(text.as_py())
+                found.append(pieces.end)
+                decoded.append(pieces.decode(found))
+                ids.append(np.array(found, dtype=np.int32))
+                ends.append(ends[-1] + len(found))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+    finally:
+        pieces.forget()
+
+
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, token ids (end id last) and decoded text of each row; a null text is empty. Other columns are left out.
 
@@ -279,20 +298,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches):
-        pieces = loaded(model.value)
-        for batch in batches:
-            sizes = [v or 0 for v in pc.binary_length(batch.column(1)).to_pylist()]
-            for lot in chunks(sizes, LOT_BYTES):
-                part = batch.slice(lot.start, lot.stop - lot.start)
-                ids, decoded, ends = [], [], [0]
-                for text in part.column(1):
-                    found = pieces.encode(text.as_py())
-                    found.append(pieces.end)
-                    decoded.append(pieces.decode(found))
-                    ids.append(np.array(found, dtype=np.int32))
-                    ends.append(ends[-1] + len(found))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+        yield from _encoded(batches, loaded(model.value), LOT_BYTES)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
@@ -304,11 +310,14 @@ def encoded_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
 
     def run(batches):
         pieces = loaded(model.value)
-        for batch in batches:
-            rows = [pieces.digests(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                rows = [pieces.digests(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
+                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            pieces.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     made = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

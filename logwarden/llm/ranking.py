@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.tokens import Words, chunks, encoded
+from logwarden.llm.tokens import Words, chunks, encoded, lots
 
 CUT = 0.3
 NAMES = ("log_words", "word_size", "upper", "symbols", "marks", "digits", "other_bytes", "bars", "distinct", "same_next", "top_word", "same_lines",
@@ -167,11 +167,9 @@ def scored(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col
     base = docs.select(*kept)
 
     def run(batches):
-        for batch in batches:
-            texts = [encoded(t) for t in batch.column(text_col).to_pylist()]
-            parts = [score(features(texts[p]), model) for p in chunks([len(t) for t in texts], CHUNK)]
-            found = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array((found >= CUT).astype(np.int32))], names=[*kept, "score", "predicted"])
+        for part in lots(batches, text_col, CHUNK):
+            found = score(features([encoded(t) for t in part.column(text_col).to_pylist()]), model)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array((found >= CUT).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return base.mapInArrow(run, f"{schema}, score double, predicted int")

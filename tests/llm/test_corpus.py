@@ -146,6 +146,14 @@ def test_piece_rows_leave_in_lots(spark, monkeypatch):
     assert pieces.encoded(frame(spark, []), path).count() == 0
 
 
+def test_pieces_of_a_task_are_forgotten():
+    own = pieces.Pieces(pieces.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([prose(40, random.Random(1)), None])], names=["id", "text"])
+    assert sum(part.num_rows for part in pieces._encoded([batch], own, 1 << 20)) == 2
+    assert not any((*own.tables, *own.older))
+    assert own.encode("ab\ncd ef") == pieces.Pieces(pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))).encode("ab\ncd ef")
+
+
 def test_leaks_copied_edited_clean(spark):
     r = random.Random(9)
     item = prose(40, r).split()
@@ -376,5 +384,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(rows) - {66} == {*range(30), 60, 62, 63, 65} and shared not in rows[62] and shared not in rows[63] and rows[0] == good[0]
 
 
+def test_stages_carry_texts_once(spark, monkeypatch):
+    given = []
+    for module, name in ((ranking, "scored"), (suffixes, "without_repeats")):
+        def seen(df, *args, real=getattr(module, name), **more):
+            given.append(df.schema.simpleString().count("text:string"))
+            return real(df, *args, **more)
+        monkeypatch.setattr(module, name, seen)
+    r = random.Random(2)
+    shared = prose(60, r)
+    rows = [(4, "n", "a b c", 5), (1, "m", None, None), (2, None, prose(9, r) + " " + shared, 9), (3, "o", shared, 1), (3, "o", "", 0), (None, "p", "ä", 1)]
+    docs = spark.createDataFrame([(note, i, text, n) for i, note, text, n in rows], "note string, doc_id long, text string, n_chars int")
+    monkeypatch.setattr(suffixes, "LOT_BYTES", 50)
+    monkeypatch.setattr(ranking, "train", lambda *_: None)  # all scores 0.5, so all rows stay
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    kept = corpus_pipeline.quality(spark, docs, "")
+    assert kept.schema.simpleString() == docs.schema.simpleString() and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    cut = corpus_pipeline.repeats(spark, docs, "")
+    first = rows[2][2][: -len(shared)]
+    want = [("n", 4, "a b c", 5), ("m", 1, None, None), (None, 2, first, len(first)), ("o", 3, "", 0), ("o", 3, "", 0), ("p", None, "ä", 1)]
+    assert cut.schema.simpleString() == docs.schema.simpleString() and sorted(map(str, map(tuple, cut.collect()))) == sorted(map(str, want))
+    assert given == [1, 1]
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
